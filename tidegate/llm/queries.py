@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, sql
+from . import bpe, lines, packing, sql, tokens, urls, warc
 from .common import ship
 
 
@@ -15,10 +15,15 @@ def _shipped(query):
 
 
 QUERIES = {
+    "op3_shards": _shipped(packing.op3_shards),
+    "op4_warc": _shipped(warc.op4_warc),
+    "op5_url_filter": _shipped(urls.op5_url_filter),
+    "op8_token_ids": _shipped(tokens.op8_token_ids),
     "op9_bpe": _shipped(bpe.op9_bpe),
     "op10_line_dedup": _shipped(lines.op10_line_dedup),
 }
 
 ORACLE_SQL = {
+    "op5_url_filter": sql.URL_FILTER,
     "op10_line_dedup": sql.LINE_DEDUP,
 }

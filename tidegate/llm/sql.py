@@ -14,3 +14,19 @@ SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.last <> l.doc_id)
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL OR f.last = l.doc_id), '')) AS kept_sha256
 FROM l LEFT JOIN f ON l.key = f.key GROUP BY l.doc_id
 """
+
+URL_FILTER = """
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    substr(rest, length(regexp_extract(rest, '^([^/]*)', 1)) + 1) AS path FROM u
+), r(verdict, rhost, rpath) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), m AS (
+  SELECT page_id, p.host, p.path, rhost || rpath AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
