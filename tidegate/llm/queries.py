@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, packing, sql, tokens, urls, warc
+from . import bpe, decontaminate, lines, neardup, packing, sql, tokens, urls, warc
 from .common import ship
 
 
@@ -15,6 +15,8 @@ def _shipped(query):
 
 
 QUERIES = {
+    "op1_decontamination": _shipped(decontaminate.op1_decontamination),
+    "op2_near_duplicates": _shipped(neardup.op2_near_duplicates),
     "op3_shards": _shipped(packing.op3_shards),
     "op4_warc": _shipped(warc.op4_warc),
     "op5_url_filter": _shipped(urls.op5_url_filter),
