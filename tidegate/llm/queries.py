@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, neardup, packing, sql, tokens, urls, warc
+from . import bpe, decontaminate, lines, neardup, packing, quality, sql, tokens, toxicity, urls, warc
 from .common import ship
 
 
@@ -20,6 +20,8 @@ QUERIES = {
     "op3_shards": _shipped(packing.op3_shards),
     "op4_warc": _shipped(warc.op4_warc),
     "op5_url_filter": _shipped(urls.op5_url_filter),
+    "op6_toxicity": _shipped(toxicity.op6_toxicity),
+    "op7_quality_rules": _shipped(quality.op7_quality_rules),
     "op8_token_ids": _shipped(tokens.op8_token_ids),
     "op9_bpe": _shipped(bpe.op9_bpe),
     "op10_line_dedup": _shipped(lines.op10_line_dedup),
@@ -27,5 +29,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_url_filter": sql.URL_FILTER,
+    "op7_quality_rules": sql.QUALITY_RULES,
     "op10_line_dedup": sql.LINE_DEDUP,
 }

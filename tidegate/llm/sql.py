@@ -30,3 +30,27 @@ WITH u AS (
 )
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+QUALITY_RULES = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), w AS (
+  SELECT doc_id, i, string_agg(ws[i], ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g, len(ws) AS n
+  FROM d, unnest(range(1, len(ws) + 1)) t(i)
+), again AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM w WHERE i + 7 <= n) WHERE c > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, unnest(range(0, 8)) t(k) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (2 * n_symbols > n_words AND 10 * n_symbols > word_chars)
+    OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+FROM m
+"""
