@@ -1,16 +1,49 @@
-"""Toxicity, line dedup, near-dedup, decontamination and token ids of the documents, one stage after the other."""
+"""Toxicity, line dedup, near-dedup, decontamination and token ids of the documents, one stage after the other.
+
+Each stage gets what the one before kept, as it was written; all but the last return the columns of documents. Rows are
+kept as they are but for the text (and, where there is such a column, its length in ``n_chars``) after line dedup.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegate.llm import bpe, lines
+from tidegate.llm import bpe, decontaminate, lines, neardup, toxicity
 from tidegate.llm.common import ship, table, written
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that score the threshold or more; learnt from labels outside the held-out third."""
+    ship(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learn_from=~toxicity.held_out())
+    return toxicity.scored(docs, model, below=toxicity.THRESHOLD)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return lines.dedup_lines(docs, counts_to=None)
+    out = lines.dedup_lines(docs, counts_to=None)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of the least id stays; repeated rows of it are one."""
+    ship(spark)
+    found = neardup.near_duplicates(docs)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else kept
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where(decontaminate.CONTAMINATED).select("doc_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +51,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("line_dedup", line_dedup), ("token_ids", token_ids)]
+STAGES = [("toxicity", toxic), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("token_ids", token_ids)]
 #: A trained classifier and minima of hashes are not for SQL to express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
