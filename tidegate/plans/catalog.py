@@ -802,3 +802,49 @@ def _(spark, d):
 @query("n_app_metrics", "SELECT app, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) AS n, min(ts) AS first, max(ts) AS last FROM app_events GROUP BY 1", ("app_events",))
 def _(spark, d):
     return derived(spark, d, "app_events").groupBy("app").agg(F.count_if(F.col("event_type") == "error").alias("failures"), F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+# ------------------------------------------------------------------ M: streams
+
+
+def _events(spark, d):
+    from tidegate.streaming import streams
+
+    return streams.read(spark, d, "events")
+
+
+@query("m_attempt_states", f"SELECT app, attempt, CASE max(rank) WHEN 2 THEN 'committed' WHEN 1 THEN 'start_upload' ELSE 'not_started' END AS state, count(*) FILTER (WHERE rank = 1) > 1 AS restarted FROM ({MESSAGES}) GROUP BY 1, 2")
+def _(spark, d):
+    from tidegate.streaming import streams
+
+    messages = _events(spark, d).selectExpr(
+        "user_id % 11 AS app", "event_id % 300 AS attempt", "CASE WHEN event_type IN ('view', 'click') THEN 1 WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 2 ELSE 0 END AS rank"
+    )
+    return streams.settled(streams.attempt_states(messages), "update", ["app", "attempt"])
+
+
+@query("m_readable_once", "SELECT p, count(DISTINCT attempt) AS n FROM (SELECT event_id % 10 AS p, user_id % 4 AS attempt FROM events WHERE event_type = 'signup') GROUP BY 1 HAVING count(DISTINCT attempt) = 4")
+def _(spark, d):
+    from tidegate.streaming import streams
+
+    rows = _events(spark, d).where("event_type = 'signup'").selectExpr("event_id % 10 AS p", "user_id % 4 AS attempt")
+    return streams.settled(streams.readable(rows, {p: [0, 1, 2, 3] for p in range(10)}), "append")
+
+
+@query("m_rates", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    from tidegate.streaming import streams
+
+    rows = _events(spark, d).selectExpr("ts", "CAST(floor(value) AS BIGINT) AS v")
+    return streams.settled(streams.rates(rows, "ts", "v"), "update", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("m_idle_sessions", """WITH g AS (SELECT user_id % 40 AS channel, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 40 ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT channel, ts, sum(fresh) OVER (PARTITION BY channel ORDER BY ts) AS k FROM g)
+SELECT channel, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS n FROM s GROUP BY channel, k""")
+def _(spark, d):
+    from tidegate.streaming import streams
+
+    rows = _events(spark, d).selectExpr("ts", "user_id % 40 AS channel")
+    out = streams.settled(streams.sessions(rows, "channel", "ts", "2 hours", "30 days"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
