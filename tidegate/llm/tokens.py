@@ -12,6 +12,7 @@ of their texts, as occurrence 0, 1 and so on. A task that runs again writes new
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -26,64 +27,84 @@ from .common import U64, id_text, mix, shared_dir, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MARK = "§"
-#: Words kept with their ids in each Python worker, of at most so many bytes.
+MARK = "~"
+#: Stems kept with their ids in each Python worker, of at most so many bytes; as many older ones are kept besides.
 CACHED, CACHED_BYTES = 400_000, 64
-JOINED = 4096
+JOINED = 512
+#: After these, a full stop or comma is a token of its own.
+STEM_ENDS = b"abcdefghijklmnopqrstuvwxyz0123456789"
 NULL_ID = -(1 << 63)
 
 
 class WordEncoder:
-    """Encodes texts by their words, for tokenizers that drop white space and merge within words alone.
+    """Encodes texts by their words, for tokenizers that drop white space, lower-case, and merge within words alone.
 
-    ASCII white space never joins a token there, so a text's ids are its words' ids; each distinct word goes through the
-    library once while it is cached. New words go together, set apart by a mark of one id, which is checked at the start.
+    ASCII white space never joins a token there, so a text's ids are its words' ids. A word's stem (lower-cased, without one
+    full stop or comma at its end) goes through the library once while it is cached; the library keeps such marks apart
+    from letters and digits. New stems go together, set apart by a mark of one id, which is checked at the start. Stems of
+    lower-case letters in composed form need neither normalising nor splitting, so these two steps are left out for them.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        mark = self._ids(MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
+        mark = self._ids(self.tokenizer, MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 and self._ids(self.letters, MARK).tolist() == mark.tolist() else None
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+    def _ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, []
-        for w in words:
+    def _ask(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        out, plain = {}, {self.tokenizer: [], self.letters: []}
+        for w in stems:
             s = w.decode("utf-8")
             if self.mark is None or MARK in s or len(w) > CACHED_BYTES or "<|" in s:
-                out[w] = self._ids(s).tobytes()
+                out[w] = self._ids(self.tokenizer, s).tobytes()
             else:
-                plain.append((w, s))
-        for a in range(0, len(plain), JOINED):
-            part = plain[a : a + JOINED]
-            ids = self._ids(f" {MARK} ".join(s for _, s in part))
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            if len(ends) != len(part):
-                out.update((w, self._ids(s).tobytes()) for w, s in part)
-                continue
-            raw, size, at = ids.tobytes(), self.dtype.itemsize, 0
-            for (w, _), end in zip(part, ends.tolist(), strict=True):
-                out[w] = raw[at * size : end * size]
-                at = end + 1
+                easy = s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s)))
+                plain[self.letters if easy else self.tokenizer].append((w, s))
+        size = self.dtype.itemsize
+        for tokenizer, words in plain.items():
+            for a in range(0, len(words), JOINED):
+                part = words[a : a + JOINED]
+                ids = self._ids(tokenizer, f" {MARK} ".join([s for _, s in part]))
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+                if len(ends) != len(part):
+                    out.update((w, self._ids(self.tokenizer, s).tobytes()) for w, s in part)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for (w, _), end in zip(part, ends, strict=True):
+                    out[w] = raw[at * size : end * size]
+                    at = end + 1
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = set().union(*split) - self.cache.keys() if split else set()
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = set().union(*split)
-        fresh = self._learn(list(new))
-        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_BYTES)
-        known = self.cache if len(fresh) == len(new) and all(len(w) <= CACHED_BYTES for w in fresh) else {**self.cache, **fresh}
-        return [b"".join([known[w] for w in words]) for words in split]
+        stems: dict[bytes, tuple[bytes, bytes] | bytes] = {}
+        for w in set().union(*split):
+            s = w.lower()
+            stems[w] = (s[:-1], s[-1:]) if s[-1] in b".," and len(s) > 1 and s[-2] in STEM_ENDS else s
+        asked = {x for v in stems.values() for x in (v if type(v) is tuple else (v,))} - self.cache.keys()
+        kept = {x: self.old[x] for x in asked if x in self.old}
+        fresh = self._ask([x for x in asked if x not in kept])
+        known = self.cache
+        known.update(kept)
+        known.update(fresh)
+        ids = {w: known[v[0]] + known[v[1]] if type(v) is tuple else known[v] for w, v in stems.items()}
+        for x in fresh:
+            if len(x) > CACHED_BYTES:
+                del known[x]
+        if len(known) > CACHED:
+            self.old, self.cache = known, {}
+        return [b"".join([ids[w] for w in words]) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
