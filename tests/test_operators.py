@@ -77,17 +77,26 @@ def test_groups_drop_the_tail_and_route_inside(spark):
     assert routed.join(own, ["p", "group_id"], "left_anti").isEmpty()
 
 
-def test_fold_by_brute_force():
+def test_buffers_by_brute_force():
     rng = random.Random(3)
     for _ in range(50):
-        n = rng.randint(0, 200)
-        parts, sizes = [rng.randint(0, 4) for _ in range(n)], [rng.randint(0, 9) for _ in range(n)]
-        block = buffers.fold(parts, sizes, 10, 20)
-        assert len(block) == n
-        for b in set(block):
-            own = [i for i in range(n) if block[i] == b]
-            assert len({parts[i] for i in own}) == 1
-            assert sum(sizes[i] for i in own[:-1]) < 10
+        records = [(rng.randint(0, 4), rng.randint(0, 9)) for _ in range(rng.randint(0, 200))]
+        packer, blocks, open_bytes = buffers.Packer(10, 20), [], {}
+        for p, size in records:
+            left = packer.add(p, size)
+            open_bytes[p] = open_bytes.get(p, 0) + size
+            if open_bytes[p] >= 10:
+                want = [(p, open_bytes.pop(p))]
+            elif sum(open_bytes.values()) >= 20:
+                want, open_bytes = sorted(open_bytes.items()), {}
+            else:
+                want = []
+            assert [(b[0], b[3]) for b in left] == want
+            blocks += left
+        blocks += packer.flush()
+        assert packer.total == 0 and not packer.open
+        assert [b[1] for b in blocks] == list(range(len(blocks)))
+        assert sum(b[2] for b in blocks) == len(records) and sum(b[3] for b in blocks) == sum(x for _, x in records)
 
 
 def test_packed_blocks_keep_all_records(spark):

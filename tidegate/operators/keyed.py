@@ -6,7 +6,7 @@ first, and adaptive execution sizes and splits what arrives.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,32 +77,39 @@ def combine_to_set(df: DataFrame, keys: Sequence[str], value: str, out: str = "v
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(out))
 
 
-def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge_value: Callable, merge: Callable, schema: str, salt: int = 8) -> DataFrame:
-    """An aggregate of three functions over pandas frames: of each part of a key's rows, then of the parts' results.
+def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge_value: Callable, merge: Callable, schema: str, table_size: int = 100_000) -> DataFrame:
+    """An aggregate of three functions: of a pandas frame of a key's rows, of a state and more rows, of two states.
 
     create(frame) -> state (a dict), merge_value(state, frame) -> state, merge(state, state) -> state; states have the
-    columns of ``schema`` besides the keys. Rows of a key are dealt into ``salt`` parts, so that a hot key isn't one task.
+    columns of ``schema`` besides the keys. Each map task keeps a table of states and writes it out whole when it has
+    ``table_size`` keys, so only states are shuffled, a few for each key and task however hot the key is.
     """
     keys = list(keys)
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    out = f"{key_schema}, {schema}"
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        half = len(pdf) // 2
-        state = create(pdf.iloc[: half or len(pdf)])
-        if half:
-            state = merge_value(state, pdf.iloc[half:])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **state}])
+    def rows(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip(keys, k, strict=True)), **s} for k, s in states.items()])
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for f in frames:
+            for k, own in f.groupby(keys, dropna=False):
+                states[k] = merge_value(states[k], own) if k in states else create(own)
+            if len(states) >= table_size:
+                yield rows(states)
+                states = {}
+        if states:
+            yield rows(states)
 
     def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.drop(columns=keys).to_dict("records")
-        state = rows[0]
-        for other in rows[1:]:
+        own = pdf.drop(columns=keys).to_dict("records")
+        state = own[0]
+        for other in own[1:]:
             state = merge(state, other)
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **state}])
 
-    out = f"{key_schema}, {schema}"
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    return dealt.groupBy(*keys, "_part").applyInPandas(first, out).groupBy(*keys).applyInPandas(last, out)
+    return df.mapInPandas(first, out).groupBy(*keys).applyInPandas(last, out)
 
 
 def two_level(df: DataFrame, keys: Sequence[str], part: str, value: str) -> DataFrame:
