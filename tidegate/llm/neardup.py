@@ -8,10 +8,13 @@ are linked where the sets' similarity is the threshold or more.
    none of the 32 bands with probability 5e-6.
 2. All minima are folded into a bitmap of BITS parities (an odd sketch). The bits in which two sketches differ estimate
    their similarity; ``sketch_limit`` is the number that a pair at the threshold exceeds with probability MISS.
-3. Each band bucket links its members to its least id. The pairs that sketches and set sizes allow are compared by their
-   full sets (64-bit hashes of shingles), and linked ones merged.
-4. Members of a bucket that are then still in other components than most of it are compared with the rest of the
-   bucket, again after the sketches. So no pair of a bucket is passed over, and copies are never expanded into all pairs.
+3. Each band bucket links its members to its hub, the member that meets most others over all its buckets. The pairs that
+   sketches and set sizes allow are compared by their full sets (64-bit hashes of shingles), and linked ones merged.
+4. Documents of one hub that are then still in other components than the hub meet the others of that hub in a join. Two of
+   them have at most so many shingles in common as the one has of the hub's that has fewer, and those beside the hub's that
+   both have. Only pairs for which this bound (exact, no estimate) suffices pass the join and are compared. So no pair of a
+   bucket is passed over, copies that are linked to their hub are never expanded into pairs, and copies edited too much
+   to be linked to it are told apart without comparing whole sets.
 
 Rows of equal doc_id should have equal texts; else the texts are linked if that id is the least of both. A null id counts
 as below all others. Buckets and stars are joined on keys that Spark can split where they are skewed.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 256
 MISS = 1e-8
+#: Ids of documents to compare that are broadcast at most (16 bytes each and less); beyond, texts are shuffled to them.
+MAX_IDS = 4_000_000
 LEAST = -(1 << 63)
 _SEEDS = np.random.default_rng(20240229)
 _TIMES = _SEEDS.integers(0, 1 << 32, SAMPLES, np.uint32, endpoint=False) | np.uint32(1)
@@ -49,7 +54,7 @@ def sketch_limit(percent: int = PERCENT, samples: int = SAMPLES, bits: int = BIT
     p, odd = 1 - percent / 100, np.zeros(bits + 1)
     odd[0], total, k = 1, np.zeros(bits + 1), np.arange(bits + 1)
     for d in range(samples + 1):
-        total += comb(samples, d) * p**d * (1 - p) ** (samples - d) * odd
+        total += exp(lgamma(samples + 1) - lgamma(d + 1) - lgamma(samples - d + 1) + d * log(p) + (samples - d) * log(1 - p)) * odd
         for _ in range(2):
             up, down = odd * (bits - k) / bits, odd * k / bits
             odd = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
@@ -74,23 +79,35 @@ def shingle_sets(c: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.bincount(own[new], minlength=len(n))
 
 
+def minima(sets: np.ndarray, counts: np.ndarray, samples: int) -> np.ndarray:
+    """MinHash samples of rows that have shingles, each mixed with its number."""
+    starts = np.cumsum(counts) - counts
+    low = (sets >> U64(32)).astype(np.uint32)
+    out = np.empty((len(counts), samples), np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(samples):
+            out[:, i] = np.minimum.reduceat((low ^ _PLUS[i]) * _TIMES[i], starts)
+        return mix(out.astype(U64) + (np.arange(samples, dtype=U64) << U64(32)))
+
+
+def odd_sketch(own: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the places that the samples fall on, 64 to an integer."""
+    rows = len(own)
+    odd = np.bincount((np.arange(rows)[:, None] * bits + (own % U64(bits)).astype(np.int64)).ravel(), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).reshape(rows, bits // 64)
+
+
 def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For rows that have shingles: two sums that identify the set, bands, and odd sketches."""
     starts = np.cumsum(counts) - counts
     with np.errstate(over="ignore"):
         h = mix(sets ^ U64(0x2545F4914F6CDD1D))
         classes = np.stack([np.add.reduceat(h, starts), np.add.reduceat(mix(h + U64(0x632BE59BD9B4E019)), starts)], 1)
-        low = (sets >> U64(32)).astype(np.uint32)
-        minima = np.empty((len(counts), SAMPLES), np.uint32)
-        for i in range(SAMPLES):
-            minima[:, i] = np.minimum.reduceat((low ^ _PLUS[i]) * _TIMES[i], starts)
-        own = mix(minima.astype(U64) + (np.arange(SAMPLES, dtype=U64) << U64(32)))
-        bits = np.bincount((np.arange(len(counts))[:, None] * BITS + (own % U64(BITS)).astype(np.int64)).ravel(), minlength=len(counts) * BITS) & 1
-        sketch = np.packbits(bits.astype(bool), bitorder="little").view(np.int64).reshape(len(counts), BITS // 64)
+        own = minima(sets, counts, SAMPLES)
         bands = np.zeros((len(counts), SAMPLES // ROWS), U64)
         for i in range(ROWS):
             bands = mix(bands * U64(0x9FB21C651E98DF25) + own[:, i::ROWS])
-    return classes.view(np.int64), bands.view(np.int64), sketch
+    return classes.view(np.int64), bands.view(np.int64), odd_sketch(own, BITS)
 
 
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
@@ -121,35 +138,76 @@ def _sifted(limit: int, percent: int):
     return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (differ <= limit)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have the similarity, as edges."""
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id and set (sorted hashes, as bytes) of the documents of the ids, written.
+
+    The texts stay where they are while the ids are few enough to be sent to them.
+    """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            ids = batch.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
+            own = batch.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
             for c in word_chunks(batch.column(1), NONSPACE):
                 h, n = shingle_sets(c, shingle)
                 ends = np.cumsum(n)
-                own = [h[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(ids[c.first : c.last]), pa.array(own, pa.binary())], names=["id", "set"])
+                sets = [h[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(own[c.first : c.last]), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    few = ids.count() <= MAX_IDS
+    own = docs.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("doc_id", "text")
+    return written(own.mapInArrow(run, "id long, set binary"), "sets")
+
+
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) with both sets, a and b."""
+    return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+
+
+def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(batch.num_rows):
+        yield tuple(np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in (2, 3))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have the similarity, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
+            for x, y in _pairs(batch):
+                both = int(_in(x, y).sum() if len(x) <= len(y) else _in(y, x).sum())
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    own = docs.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).join(asked, "id", "left_semi").select("doc_id", "text")
-    found = written(own.mapInArrow(sets, "id long, set binary"), "sets")
-    met = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v").select("u", "v", "a", "b")
-    return written(met.mapInArrow(meet, "u long, v long").distinct(), "links")
+    return written(_met(pairs, sets).mapInArrow(run, "u long, v long").distinct(), "links")
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, hub, inner (shingles of the hub that the document has) and outer (its other shingles) of pairs (id, hub)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inner, outer = [], []
+            for x, y in _pairs(batch):
+                own = _in(x, y)
+                inner.append(int(own.sum()))
+                outer.append(x[~own].view(np.int64))
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in outer])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *outer])))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inner, pa.int64()), lists], names=["id", "hub", "inner", "outer"])
+
+    return _met(pairs.toDF("u", "v"), sets).mapInArrow(run, "id long, hub long, inner long, outer array<long>")
+
+
+def _bounded(percent: int):
+    """Whether rows a and b, of one hub, can be linked: their common shingles are at most those of the hub that the one with
+    fewer of them has, and those beside the hub that both have."""
+    within, apart = F.least("a.inner", "b.inner"), F.least(F.col("a.n") - F.col("a.inner"), F.col("b.n") - F.col("b.inner"))
+    enough = lambda most: (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
+    return enough(within + apart) & enough(within + F.size(F.array_intersect("a.outer", "b.outer")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -160,32 +218,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(least)
     firsts = classes.select(F.col("first.row").alias("row"))
     distinct = written(rows.join(firsts, "row", "left_semi").select("id", "n", "bands", *SKETCH), "classes")
-    # buckets of two members or more
+    # buckets of two members or more; the hub is the member that meets most others over all its buckets
     members = distinct.select("id", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("hub")).where("size > 1").select("bucket", "hub")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "members")
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("least"))).alias("hub"))
+    near = written(members.join(hubs.select("bucket", (-F.col("hub.least")).alias("hub")), "bucket").select("id", "hub").distinct(), "near")
+    sets = full_sets(own, near.select("id").distinct(), shingle)
     short = distinct.select("id", "n", *SKETCH)
-
-    def sifted(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(short.alias("a"), F.col("u") == F.col("a.id")).join(short.alias("b"), F.col("v") == F.col("b.id"))
-        return both.where(_sifted(limit, percent)).select("u", "v")
-
-    stars = written(sifted(members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()), "stars")
-    links = compared(stars, own, shingle, percent)
-    labels = components(links)
-    # what is in one bucket, but not yet in one component
-    named = members.select("bucket", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    most = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most")).where("labels > 1")
-    mixed = named.join(most.select("bucket", "most"), "bucket").join(short, "id")
-    a, b = mixed.where("label <> most").alias("a"), mixed.alias("b")
-    apart = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.most")) | (F.col("a.id") < F.col("b.id")))
-    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & apart & _sifted(limit, percent))
+    pairs = near.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+    pairs = pairs.join(short.alias("a"), F.col("u") == F.col("a.id")).join(short.alias("b"), F.col("v") == F.col("b.id"))
+    stars = written(pairs.where(_sifted(limit, percent)).select("u", "v"), "stars")
+    labels = components(compared(stars, sets, percent))
+    # what has a hub in common, but isn't in one component yet
+    top = labels.select(F.col("id").alias("hub"), F.col("label").alias("top"))
+    named = near.join(labels, "id", "left").join(top, "hub", "left").select("id", "hub", F.coalesce("label", "id").alias("label"), F.coalesce("top", "hub").alias("top"))
+    apart = named.where("label <> top").select("hub").distinct()
+    mixed = written(named.join(apart, "hub", "left_semi"), "mixed")
+    mixed = written(mixed.join(beside(mixed.select("id", "hub"), sets), ["id", "hub"]).join(short, "id"), "beside")
+    a, b = mixed.where("label <> top").alias("a"), mixed.alias("b")
+    once = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.id") < F.col("b.id")))
+    rest = a.join(b, (F.col("a.hub") == F.col("b.hub")) & once & _sifted(limit, percent) & _bounded(percent))
     rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    rest = written(rest.join(stars, ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = compared(rest, own, shingle, percent)
-        if not more.isEmpty():
-            labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(more))
+    more = compared(rest.join(stars, ["u", "v"], "left_anti"), sets, percent)
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(more))
     found = classes.select("c1", "c2", "n", F.col("first.id").alias("class_id")).join(labels, F.col("class_id") == F.col("id"), "left")
     found = found.select("c1", "c2", "n", "class_id", F.coalesce("label", "class_id").alias("component_id"))
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
