@@ -48,12 +48,12 @@ class Model:
     bias: float
     bits: int = HASH_BITS
 
-    def scores(self, c: Words) -> np.ndarray:
-        dense = np.zeros(1 << self.bits, np.float32)
-        dense[self.places] = self.weights
-        return self._scores(c, dense)
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.bits, np.float32)
+        out[self.places] = self.weights
+        return out
 
-    def _scores(self, c: Words, dense: np.ndarray) -> np.ndarray:
+    def scores(self, c: Words, dense: np.ndarray) -> np.ndarray:
         at, rows = features(c, self.bits)
         some = np.flatnonzero(dense[at])
         once = np.unique(rows[some] << self.bits | at[some])
@@ -132,10 +132,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        dense = np.zeros(1 << m.bits, np.float32)
-        dense[m.places] = m.weights
+        dense = m.dense()
         for batch in small_batches(batches, text_col):
-            own = [m._scores(c, dense) for c in word_chunks(batch.column(batch.schema.get_field_index(text_col)), ALNUM)]
+            own = [m.scores(c, dense) for c in word_chunks(batch.column(batch.schema.get_field_index(text_col)), ALNUM)]
             score = np.concatenate(own) if own else np.zeros(0)
             if below is None:
                 yield pa.record_batch([*batch.columns, pa.array(score)], names=[*batch.schema.names, score_col])
