@@ -90,17 +90,14 @@ def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_
 
     A rule is timed with what it needs of the metrics: columns that it doesn't name are not computed.
     """
-    sample = docs.select(F.col(f"`{text_col}`").alias("text")).limit(sample_rows).persist()
-    try:
-        sample.count()
-        own, out = metrics(sample), []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = own.agg(F.count_if(F.expr(rule.rejects))).first()[0]
-            out.append(Estimate(rule, time.perf_counter() - began, rejected))
-        return sorted(out, key=lambda e: (-e.worth, e.seconds))
-    finally:
-        sample.unpersist()
+    # taken from the first partitions until there are enough, which a limit within a larger plan would take from all
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).limit(sample_rows).collect()
+    own, out = metrics(docs.sparkSession.createDataFrame(rows, "text string")), []
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = own.agg(F.count_if(F.expr(rule.rejects))).first()[0]
+        out.append(Estimate(rule, time.perf_counter() - began, rejected))
+    return sorted(out, key=lambda e: (-e.worth, e.seconds))
 
 
 def cascade(measured: DataFrame, rules: list[Rule]) -> DataFrame:
