@@ -129,45 +129,71 @@ def _covered(words: list[bytes], hits: list[dict], k: int) -> tuple[list[list[in
     return merged, items
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids of those that occur), spans (of hit words: first, end) of every row."""
-    own = id_text(docs, id_col, text_col)
-    prints = item_prints(id_text(items, item_col, item_text_col), span, k)
+def _hits(own: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
+    """key (doc_id) and hits of the documents that have a fingerprint in common with an item."""
+    prints = item_prints(items, span, k)
     short = sorted(r["size"] for r in prints.where(F.col("size") < span).select("size").distinct().collect())
     keys = None
     if short:
         few = prints.where(F.col("size") < span).select("h").distinct().limit(SHORT_KEYS + 1).collect()
         keys = np.sort(np.array([r.h for r in few], np.int64).view(U64)) if len(few) <= SHORT_KEYS else None
     hits = document_prints(own, span, k, short, keys).join(prints, "h")
-    by_doc = hits.groupBy("key").agg(F.collect_list(F.struct("at", "item_id", "size", "left", "context")).alias("hits"))
+    return hits.groupBy("key").agg(F.collect_list(F.struct("at", "item_id", "size", "left", "context")).alias("hits"))
+
+
+def _judged(text: pa.Array, hits: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, list[set[int]], list[list[list[int]]]]:
+    """Of each row: the numbers of words and of hit words, the items, the spans."""
+    data, offs = text_buffers(text)
+    low = LOWER[data]
+    starts, ends, counts = find_words(low, offs, ALNUM)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    n_hit, items, spans = np.zeros(len(counts), np.int64), [set() for _ in counts], [[] for _ in counts]
+    for r in np.flatnonzero(np.asarray(hits.is_valid())).tolist():
+        a, b = int(bounds[r]), int(bounds[r + 1])
+        words = [low[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
+        spans[r], items[r] = _covered(words, hits[r].as_py(), k)
+        n_hit[r] = sum(y - x for x, y in spans[r])
+    return counts.astype(np.int64), n_hit, items, spans
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids of those that occur), spans (of hit words: first, end) of every row."""
+    own = id_text(docs, id_col, text_col)
+    by_doc = _hits(own, id_text(items, item_col, item_text_col), span, k)
     both = own.withColumn("key", F.coalesce("doc_id", F.lit(LEAST))).join(by_doc, "key", "left").select("doc_id", "text", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            data, offs = text_buffers(batch.column(1))
-            low = LOWER[data]
-            starts, ends, counts = find_words(low, offs, ALNUM)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            n_hit, items, spans = np.zeros(len(counts), np.int64), [[] for _ in counts], [[] for _ in counts]
-            some = batch.column(2)
-            for r in np.flatnonzero(np.asarray(some.is_valid())).tolist():
-                a, b = int(bounds[r]), int(bounds[r + 1])
-                words = [low[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-                merged, found = _covered(words, some[r].as_py(), k)
-                n_hit[r] = sum(y - x for x, y in merged)
-                items[r] = [None if x == LEAST else x for x in sorted(found)]
-                spans[r] = [{"first": x, "end": y} for x, y in merged]
+            n_words, n_hit, found, places = _judged(batch.column(1), batch.column(2), k)
+            items = [[None if x == LEAST else x for x in sorted(s)] for s in found]
+            spans = [[{"first": x, "end": y} for x, y in s] for s in places]
             kinds = pa.list_(pa.int64()), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-            yield pa.record_batch([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array(items, kinds[0]), pa.array(spans, kinds[1])], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            yield pa.record_batch([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(items, kinds[0]), pa.array(spans, kinds[1])], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return both.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<first:int,end:int>>")
 
 
-#: A document is contaminated if a twentieth of its words or more are hit.
-CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
+    """The rows that aren't contaminated, as they are. They are moved once, to meet their hits."""
+    by_doc = _hits(id_text(docs, id_col, text_col), id_text(items, item_col, item_text_col), span, k).toDF("__key", "__hits")
+    both = docs.join(by_doc, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST)) == F.col("__key"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text_col):
+            at = batch.schema.names.index(text_col)
+            n_words, n_hit, _, _ = _judged(batch.column(at), batch.column(batch.num_columns - 1), k)
+            yield pa.record_batch(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(~contaminated(n_words, n_hit)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return both.mapInArrow(run, schema)
+
+
+def contaminated(n_words, n_hit):
+    """Whether a twentieth of a document's words or more are hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
