@@ -30,8 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document of the least id stays; repeated rows of it are one."""
     ship(spark)
     found = neardup.near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "gone")
+    # texts stay where they are while the ids are few enough to be sent to them
+    kept = docs.join(F.broadcast(gone) if gone.count() <= neardup.MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
     return kept.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else kept
 
 
@@ -41,9 +42,7 @@ def _repeats(docs: DataFrame) -> bool:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where(decontaminate.CONTAMINATED).select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
