@@ -337,6 +337,11 @@ def test_op9_bpe(spark, docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), r.doc_id
 
 
+def test_op9_decodes_what_was_encoded(spark, docs):
+    one, two = bpe.decode(bpe.encode(docs)), bpe.encode(docs, decoded=True)
+    assert sorted(map(tuple, one.collect()), key=lambda r: r[0]) == sorted(map(tuple, two.collect()), key=lambda r: r[0])
+
+
 def test_op9_cuts_where_no_match_is_cut():
     library = bpe.load(public_tokenizers.path(bpe.RANKS), public_tokenizers.PATTERN)
     r = random.Random(6)

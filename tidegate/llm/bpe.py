@@ -52,21 +52,30 @@ def encode_text(encoding, text: str | None, size: int = SEGMENT) -> np.ndarray:
     return np.concatenate([np.array(encoding.encode_ordinary(x), np.uint32) for x in segments(text, size)])
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids: the ids as little-endian unsigned 32-bit integers."""
+SCHEMA = "doc_id long, n_tokens long, ids binary"
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids: the ids as little-endian unsigned 32-bit integers.
+
+    decoded: also ``decoded``, the raw bytes that the ids decode to, from the same pass.
+    """
     ranks = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load(ranks, pattern)
         for batch in small_batches(batches, "text"):
             ids = [encode_text(encoding, x) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            cols = {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())}
+            if decoded:
+                cols["decoded"] = pa.array([encoding.decode_bytes(x.tolist()) for x in ids], pa.binary())
+            yield pa.record_batch(list(cols.values()), names=list(cols))
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """What encode() returned, and ``decoded``: the raw bytes of the ids."""
+    """What encode() returned, and ``decoded``: the raw bytes of the ids; of null ids, none."""
     ranks = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +84,7 @@ def decode(encoded: DataFrame, ranks: str | None = None, pattern: str = public_t
             out = [encoding.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in batch.column(2).to_pylist()]
             yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", F.coalesce("ids", F.lit(b"")).alias("ids")).mapInArrow(run, SCHEMA + ", decoded binary")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +92,4 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(docs, decoded=True).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

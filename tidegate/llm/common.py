@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -221,7 +221,7 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``size`` bytes of text, so that memory and 32-bit offsets hold for long texts."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
