@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import brute
 from tidegate.llm import bpe, common, components, decontaminate, lines, mph, neardup, packing, quality, tokens, toxicity, urls, warc
 
@@ -135,6 +136,19 @@ def test_op2_links_beside_the_hub(spark):
     assert got == brute.near_duplicates(rows)
 
 
+def test_op2_null_id_among_near_copies(spark):
+    base = prose(300, 60).split()
+    copies = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in (40, 90, 170)]
+    rows = [(7, " ".join(base)), (None, copies[0]), (3, copies[1]), (9, copies[2]), (4, prose(300, 61)), (5, prose(300, 62))]
+    want = brute.near_duplicates([(neardup.LEAST if i is None else i, t) for i, t in rows])
+    named = lambda i: None if i == neardup.LEAST else i
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()}
+    assert got == {named(i): (n, named(c)) for i, (n, c) in want.items()}
+    assert [got[i][1] for i in (None, 3, 7, 9, 4, 5)] == [None, None, None, None, 4, 5]
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {None, 4, 5}
+
+
 def test_odd_sketch_limits():
     """Pairs at the threshold and above pass; most of those far below don't."""
     r, limit, far = np.random.default_rng(0), neardup.sketch_limit(), 0

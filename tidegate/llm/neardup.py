@@ -218,13 +218,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(least)
     firsts = classes.select(F.col("first.row").alias("row"))
     distinct = written(rows.join(firsts, "row", "left_semi").select("id", "n", "bands", *SKETCH), "classes")
-    # buckets of two members or more; the hub is the member that meets most others over all its buckets
+    # buckets of two members or more; the hub is the member that meets most others over all its buckets, of these the least
+    # (by bitwise not: the id that stands for null has no negative)
     members = distinct.select("id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "members")
     met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("least"))).alias("hub"))
-    near = written(members.join(hubs.select("bucket", (-F.col("hub.least")).alias("hub")), "bucket").select("id", "hub").distinct(), "near")
+    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.bitwise_not("id").alias("least"))).alias("hub"))
+    near = written(members.join(hubs.select("bucket", F.bitwise_not("hub.least").alias("hub")), "bucket").select("id", "hub").distinct(), "near")
     sets = full_sets(own, near.select("id").distinct(), shingle)
     short = distinct.select("id", "n", *SKETCH)
     pairs = near.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
