@@ -149,6 +149,18 @@ def test_expiring_stream(spark, tmp_path):
     assert 1 in {r.key for r in got}
 
 
+def test_rates_of_files_out_of_time_order(spark, tmp_path):
+    from tidegate.plans import catalog
+
+    for day in (9, 3, 7, 1):
+        rows = spark.range(0, 50, 1, 1).selectExpr(f"CAST(TIMESTAMP '2024-01-0{day} 00:00:00' + make_interval(0, 0, 0, 0, 0, 7 * id, 0) AS TIMESTAMP_NTZ) AS ts", "CAST(id AS DOUBLE) AS value")
+        rows.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = catalog.QUERIES["m_rates"](spark, str(tmp_path)).collect()
+    want = spark.read.parquet(str(tmp_path / "events.parquet")).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz")).agg(F.sum("value"), F.count("*")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
+    assert sum(r.n for r in got) == 200
+
+
 def test_quota_of_an_empty_log(spark):
     empty = generated.empty(spark, "app long, event_id long, n_bytes long")
     assert statelog.over_quota(empty, "app", "event_id", "n_bytes", 1).count() == 0

@@ -836,7 +836,7 @@ def _(spark, d):
     from tidegate.streaming import streams
 
     rows = _events(spark, d).selectExpr("ts", "CAST(floor(value) AS BIGINT) AS v")
-    return streams.settled(streams.rates(rows, "ts", "v"), "update", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.settled(streams.rates(rows, "ts", "v", delay=None), "update", ["start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("m_idle_sessions", """WITH g AS (SELECT user_id % 40 AS channel, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 40 ORDER BY ts) < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS fresh FROM events),

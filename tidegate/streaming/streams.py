@@ -103,8 +103,10 @@ def expiring(events: DataFrame, key: str, ts: str, delay: str, hours: int) -> Da
     return own.groupBy("key").applyInPandasWithState(step, "key long, last_seen timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rates(events: DataFrame, ts: str, value: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    own = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+def rates(events: DataFrame, ts: str, value: str, width: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
+    """Sum and count by window. Rows later than ``delay`` are dropped; with None none is, and all windows are kept as state."""
+    own = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    own = own.withWatermark("_ts", delay) if delay is not None else own
     out = own.groupBy(F.window("_ts", width)).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
     return out.select(F.col("window.start").alias("start"), "total", "n")
 
