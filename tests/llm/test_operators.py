@@ -236,6 +236,18 @@ def test_op4_warc(spark):
     assert all(bytes(x.payload) == (dict((i, h) for i, _, h in pages)[i] or "").encode() for i, x in got.items() if x.record_type == "response")
 
 
+def test_op4_reads_all_folders_and_misses_no_file(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"<p>{prose(20, i)}</p>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parts = [warc.write_archives(df.where(f"page_id % 2 = {k}"), to=f"file://{tmp_path}/{k}") for k in range(2)]
+    both = parts[0].union(parts[1])
+    assert sorted(r.page_id for r in warc.read_archives(both).collect()) == list(range(20))
+    first = parts[1].first().file
+    (tmp_path / "1" / first.rpartition("/")[2]).unlink()
+    with pytest.raises(ValueError, match="aren't there"):
+        warc.read_archives(both).collect()
+
+
 def test_op4_rejects_what_is_wrong():
     good = warc.record(1, "http://a/", b"payload", None)
     assert warc.parse(good).http()[1] == b"payload"

@@ -18,6 +18,7 @@ import urllib.parse
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import zstandard
@@ -186,16 +187,22 @@ def _page(urn: str | None) -> int | None:
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of a manifest's files. ``payload`` is null for revisits; its digest and length are of the full payload."""
+    """The records of a manifest's files. ``payload`` is null for revisits; its digest and length are of the full payload.
+
+    The files may be in several folders; a listed one that isn't there is an error.
+    """
     spark = manifest.sparkSession
-    rows = manifest.select("file").limit(1).collect()
-    if not rows:
+    folder, name = F.regexp_replace("file", "/[^/]*$", "").alias("folder"), lambda c: F.element_at(F.split(c, "/"), -1).alias("name")
+    folders = sorted(r.folder for r in manifest.select(folder).distinct().collect())
+    if not folders:
         return spark.createDataFrame([], RECORDS)
-    folder = rows[0].file.rpartition("/")[0]
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    listed = manifest.select(F.element_at(F.split("file", "/"), -1).alias("name"), "n_records")
-    content = found.select(name.alias("name"), "content").join(listed, "name").select("name", "n_records", "content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst")
+    found = reduce(DataFrame.union, [archives.load(x).select(F.lit(x).alias("folder"), name("path"), "content") for x in folders])
+    listed = manifest.select(folder, name("file"), "n_records")
+    gone = listed.join(found.select("folder", "name"), ["folder", "name"], "left_anti").limit(3).collect()
+    if gone:
+        raise ValueError(f"the manifest lists archives that aren't there: {', '.join(f'{r.folder}/{r.name}' for r in gone)}")
+    content = found.join(listed, ["folder", "name"]).select("name", "n_records", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORDS.split(", "))])
