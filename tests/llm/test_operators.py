@@ -348,6 +348,13 @@ def test_op8_words_as_the_library_has_them(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_op8_special_tokens_in_another_case():
+    own = tokens.WordEncoder(public_tokenizers.path(tokens.TOKENIZER))
+    texts = ["<|ENDOFTEXT|>", "a <|endoftext|> b <|EndOfText|>. c", "A<|STARTOFTEXT|>B. <|startoftext|>B.", "<|X. <|x, The <|ENDOFTEXT|>x."]
+    got = own.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op8_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "b"), (None, "a a"), (4, "x y z"), (4, "x y z"), (4, "a")], "doc_id long, text string")
     got = tokens.read_ids(tokens.write_ids(rows, shards=2)).collect()

@@ -41,7 +41,8 @@ class WordEncoder:
 
     ASCII white space never joins a token there, so a text's ids are its words' ids. A word's stem (lower-cased, without one
     full stop or comma at its end) goes through the library once while it is cached; the library keeps such marks apart
-    from letters and digits. New stems go together, set apart by a mark of one id, which is checked at the start. Stems of
+    from letters and digits. What may hold a special token keeps its case, since the library looks for those before it
+    lower-cases. New stems go together, set apart by a mark of one id, which is checked at the start. Stems of
     lower-case letters in composed form need neither normalising nor splitting, so these two steps are left out for them.
     """
 
@@ -90,7 +91,7 @@ class WordEncoder:
         split = [t.split() for t in texts]
         stems: dict[bytes, tuple[bytes, bytes] | bytes] = {}
         for w in set().union(*split):
-            s = w.lower()
+            s = w if b"<|" in w else w.lower()
             stems[w] = (s[:-1], s[-1:]) if s[-1] in b".," and len(s) > 1 and s[-2] in STEM_ENDS else s
         asked = {x for v in stems.values() for x in (v if type(v) is tuple else (v,))} - self.cache.keys()
         kept = {x: self.old[x] for x in asked if x in self.old}
