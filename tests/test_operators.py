@@ -161,6 +161,14 @@ def test_rates_of_files_out_of_time_order(spark, tmp_path):
     assert sum(r.n for r in got) == 200
 
 
+def test_shapes_of_all_parts(spark, tmp_path):
+    from tidegate.plans import catalog
+
+    spark.createDataFrame([(1, 3), (499, 7), (500, 11), (9000, 50)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("f1_server_count", "f2_fanout"):
+        assert sorted(r.maps for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [3, 7, 11, 50]
+
+
 def test_quota_of_an_empty_log(spark):
     empty = generated.empty(spark, "app long, event_id long, n_bytes long")
     assert statelog.over_quota(empty, "app", "event_id", "n_bytes", 1).count() == 0

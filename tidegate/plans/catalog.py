@@ -464,11 +464,13 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ F: placement
 
-SHAPES = "SELECT p_size AS maps, p_size * 3 % 70 + 1 AS parts, p_size % 3 + 1 AS replicas, p_size % 5 AS least FROM part WHERE p_partkey < 500"
+ALL_SHAPES = "SELECT p_size AS maps, p_size * 3 % 70 + 1 AS parts, p_size % 3 + 1 AS replicas, p_size % 5 AS least FROM part"
+#: What the SQL reads; the queries read all of part.
+SHAPES = f"{ALL_SHAPES} WHERE p_partkey < 500"
 
 
 def _shapes(spark, d):
-    return spark.sql(SHAPES.replace("FROM part", "FROM {part} part"), part=table(spark, d, "part")).distinct()
+    return spark.sql(ALL_SHAPES.replace("FROM part", "FROM {part} part"), part=table(spark, d, "part")).distinct()
 
 
 @query("f1_server_count", f"SELECT DISTINCT maps, parts, replicas, least, CAST(greatest(greatest(least(50, ceil(greatest(maps, parts) / 20.0), parts), 1) * replicas, least) AS BIGINT) AS servers FROM ({SHAPES})")
