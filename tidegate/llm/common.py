@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
@@ -23,9 +25,15 @@ _P = 0x9E3779B97F4A7C15 | 1
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster that is an error, since a folder of one
+    machine would lose what the others write.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidegate-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/") if "://" in root else "file://" + os.path.abspath(root)
@@ -40,18 +48,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidegate_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidegate_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+_KEPT: dict[str, tuple[str, object]] = {}
 
-#: Rows of an Arrow batch, where the session has Spark's default: rows are whole texts here, or pairs of sets.
-BATCH_ROWS = 1000
+
+def kept(kind: str, key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker for the tasks after this one; one of each kind, that of ``key``."""
+    if _KEPT.get(kind, ("", None))[0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = key, make()
+    return _KEPT[kind][1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per context, as ``--py-files`` would, and keep Arrow batches small."""
+    """Give executors this package, once per context, as ``--py-files`` would."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_tidegate_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -66,6 +88,11 @@ def ship(spark: SparkSession) -> None:
     sc._tidegate_shipped = True
 
 
+def schema_of(df: DataFrame, *more: str) -> str:
+    """The columns of a DataFrame, and more, as the text that mapInArrow takes."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
 # ------------------------------------------------------------------ text as bytes
 
 
@@ -232,10 +259,35 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, size: int = 2 <<
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, under its own names, so that no other column can clash."""
-    from pyspark.sql import functions as F
-
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+LEAST = -(1 << 63)
+#: Ids that are sent to where the texts are (24 bytes each); beyond, texts are shuffled to them.
+MAX_IDS = 2_000_000
+
+
+def _keys(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LEAST)), F.xxhash64(text), text
+
+
+def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (LEAST for null), t (a hash of the text) and text, under names of our own: id and t tell texts of one id apart."""
+    i, t, text = _keys(id_col, text_col)
+    return docs.select(i.alias("id"), t.alias("t"), text.alias("text"))
+
+
+def matching(docs: DataFrame, ids: DataFrame, how: str, id_col: str, text_col: str, most: int | None = None) -> DataFrame:
+    """The documents whose id and t are among ``ids`` (left_semi), or aren't (left_anti), as they are.
+
+    Texts stay where they are while the ids are few enough to be sent to them.
+    """
+    few = ids.count() <= (MAX_IDS if most is None else most)
+    own = (F.broadcast(ids) if few else ids).select(F.col("id").alias("__tidegate_id"), F.col("t").alias("__tidegate_t"))
+    i, t, _ = _keys(id_col, text_col)
+    return docs.join(own, (i == F.col("__tidegate_id")) & (t == F.col("__tidegate_t")), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,8 +1,8 @@
 """Near duplicates: MinHash bands propose pairs, odd sketches sift them, full shingle sets decide, components follow.
 
 A document's set is that of its distinct word shingles; a text of fewer words is one shingle as a whole, one without words
-has none and is linked with nothing. Documents of equal sets are one class, which goes on as its smallest doc_id. Classes
-are linked where the sets' similarity is the threshold or more.
+has none and is linked with nothing. Documents of equal sets are one class, which goes on as one of its rows. Classes are
+linked where the sets' similarity is the threshold or more.
 
 1. A class has SAMPLES minima of hashes. Runs of ROWS of them are its bands; two classes of a similarity of 0.75 share
    none of the 32 bands with probability 5e-6.
@@ -10,36 +10,36 @@ are linked where the sets' similarity is the threshold or more.
    their similarity; ``sketch_limit`` is the number that a pair at the threshold exceeds with probability MISS.
 3. Each band bucket links its members to its hub, the member that meets most others over all its buckets. The pairs that
    sketches and set sizes allow are compared by their full sets (64-bit hashes of shingles), and linked ones merged.
-4. Documents of one hub that are then still in other components than the hub meet the others of that hub in a join. Two of
-   them have at most so many shingles in common as the one has of the hub's that has fewer, and those beside the hub's that
-   both have. Only pairs for which this bound (exact, no estimate) suffices pass the join and are compared. So no pair of a
-   bucket is passed over, copies that are linked to their hub are never expanded into pairs, and copies edited too much
-   to be linked to it are told apart without comparing whole sets.
-
-Rows of equal doc_id should have equal texts; else the texts are linked if that id is the least of both. A null id counts
-as below all others. Buckets and stars are joined on keys that Spark can split where they are skewed.
+4. Where members of a bucket are then still in other components than its hub, all members of it are compared by an exact
+   prefix filter: shingles are ordered by how many of these classes have them, and two sets can only be linked if the rarest
+   quarter of the larger and the rarest seventh of the smaller meet. Shingles within one component, which can link nothing
+   new, come first and aren't joined. So copies linked to a hub are never expanded into pairs, nor are texts that share
+   only what is common. What passes by place, size and sketch is compared by full sets.
+
+Rows are the nodes, not ids: rows of one doc_id with different texts are judged each by its own text. A null id counts as
+below all others. Ids of linked rows decide the class and component id (the least), also where they are repeated. An empty
+table gives no rows; long texts are taken whole. Other columns aren't read and may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, U64, Words, gram_hashes, id_text, mix, small_batches, table, word_chunks, written
+from .common import LEAST, MAX_IDS, NONSPACE, U64, Words, discard, gram_hashes, keyed_text, matching, mix, small_batches, table, word_chunks, written
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 256
 MISS = 1e-8
-#: Ids of documents to compare that are broadcast at most (16 bytes each and less); beyond, texts are shuffled to them.
-MAX_IDS = 4_000_000
-LEAST = -(1 << 63)
+#: Classes of more rows than this and than a thousandth of all rows are sent to the rows: a thousand at most.
+HOT_ROWS = 1000
 _SEEDS = np.random.default_rng(20240229)
 _TIMES = _SEEDS.integers(0, 1 << 32, SAMPLES, np.uint32, endpoint=False) | np.uint32(1)
 _PLUS = _SEEDS.integers(0, 1 << 32, SAMPLES, np.uint32, endpoint=False)
@@ -113,23 +113,27 @@ def signatures(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
+def _lists(sets: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(sets.view(np.int64)))
+
+
 def profiles(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """id, n (set size), c1 and c2 (the class), bands, sketch of every row; docs: doc_id, text."""
+    """id, t, n (set size), c1 and c2 (the class), bands, sketch of every row of ``keyed_text``."""
+    names = ["id", "t", "n", "c1", "c2", "bands", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "c1", "c2", "bands", *SKETCH]
         for batch in small_batches(batches, "text"):
-            ids = batch.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
-            for c in word_chunks(batch.column(1), NONSPACE):
+            for c in word_chunks(batch.column(2), NONSPACE):
                 sets, n = shingle_sets(c, shingle)
                 some, k = n > 0, SAMPLES // ROWS
                 classes, bands, sketch = np.zeros((len(n), 2), np.int64), np.zeros((0, k), np.int64), np.zeros((len(n), len(SKETCH)), np.int64)
                 if some.any():
                     classes[some], bands, sketch[some] = signatures(sets, n[some])
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * k)]).astype(np.int32), pa.array(bands.ravel()))
-                yield pa.record_batch([pa.array(ids[c.first : c.last]), pa.array(n.astype(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), lists, *(pa.array(sketch[:, i]) for i in range(len(SKETCH)))], names=names)
+                own = batch.slice(c.first, c.last - c.first)
+                cols = [own.column(0), own.column(1), pa.array(n.astype(np.int64)), pa.array(classes[:, 0]), pa.array(classes[:, 1]), _lists(bands.ravel(), some * k)]
+                yield pa.record_batch([*cols, *(pa.array(sketch[:, i]) for i in range(len(SKETCH)))], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, c1 long, c2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
+    return docs.mapInArrow(run, "id long, t long, n long, c1 long, c2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def _sifted(limit: int, percent: int):
@@ -138,29 +142,25 @@ def _sifted(limit: int, percent: int):
     return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (differ <= limit)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id and set (sorted hashes, as bytes) of the documents of the ids, written.
+def full_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node and set (sorted hashes) of the nodes (node, id, t), written.
 
     The texts stay where they are while the ids are few enough to be sent to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            own = batch.column(0).fill_null(LEAST).to_numpy(zero_copy_only=False)
             for c in word_chunks(batch.column(1), NONSPACE):
-                h, n = shingle_sets(c, shingle)
-                ends = np.cumsum(n)
-                sets = [h[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(own[c.first : c.last]), pa.array(sets, pa.binary())], names=["id", "set"])
-
-    few = ids.count() <= MAX_IDS
-    own = docs.withColumn("id", F.coalesce("doc_id", F.lit(LEAST))).join(F.broadcast(ids) if few else ids, "id", "left_semi").select("doc_id", "text")
-    return written(own.mapInArrow(run, "id long, set binary"), "sets")
+                yield pa.record_batch([batch.column(0).slice(c.first, c.last - c.first), _lists(*shingle_sets(c, shingle))], names=["node", "set"])
 
-
-def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) with both sets, a and b."""
-    return pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    n = nodes.count()
+    own = docs.join(F.broadcast(nodes) if n <= MAX_IDS else nodes, ["id", "t"]).select("node", "text")
+    sets = written(own.mapInArrow(run, "node long, set array<long>"), "sets")
+    if sets.count() == n:
+        return sets
+    once = written(sets.dropDuplicates(["node"]), "sets")  # rows that are repeated have a set each
+    discard(sets)
+    return once
 
 
 def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -168,8 +168,9 @@ def _in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    sides = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy().view(U64)) for k in (2, 3)]
     for i in range(batch.num_rows):
-        yield tuple(np.frombuffer(batch.column(k)[i].as_buffer(), U64) for k in (2, 3))
+        yield tuple(values[offs[i] : offs[i + 1]] for offs, values in sides)
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,74 +184,127 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(_met(pairs, sets).mapInArrow(run, "u long, v long").distinct(), "links")
-
-
-def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, hub, inner (shingles of the hub that the document has) and outer (its other shingles) of pairs (id, hub)."""
+    met = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return written(met.mapInArrow(run, "u long, v long").distinct(), "links")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            inner, outer = [], []
-            for x, y in _pairs(batch):
-                own = _in(x, y)
-                inner.append(int(own.sum()))
-                outer.append(x[~own].view(np.int64))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in outer])]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.int64), *outer])))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inner, pa.int64()), lists], names=["id", "hub", "inner", "outer"])
-
-    return _met(pairs.toDF("u", "v"), sets).mapInArrow(run, "id long, hub long, inner long, outer array<long>")
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, possible: Callable[[], Column]) -> DataFrame:
+    """u, v: the pairs of different labels, one of them loose, that can be linked and share a shingle of their prefixes.
 
-def _bounded(percent: int):
-    """Whether rows a and b, of one hub, can be linked: their common shingles are at most those of the hub that the one with
-    fewer of them has, and those beside the hub that both have."""
-    within, apart = F.least("a.inner", "b.inner"), F.least(F.col("a.n") - F.col("a.inner"), F.col("b.n") - F.col("b.inner"))
-    enough = lambda most: (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
-    return enough(within + apart) & enough(within + F.size(F.array_intersect("a.outer", "b.outer")))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (least id of equal sets), component_id (least id reachable) of every row."""
-    limit, own = sketch_limit(percent), id_text(docs, id_col, text_col)
-    rows = written(profiles(own, shingle).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    least = F.min(F.struct("id", "row")).alias("first")
-    classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(least)
-    firsts = classes.select(F.col("first.row").alias("row"))
-    distinct = written(rows.join(firsts, "row", "left_semi").select("id", "n", "bands", *SKETCH), "classes")
+    nodes: node, label, loose, n and what ``possible`` reads. Exact: let all shingles have one order, those first that only one
+    component has. Linked sets have ``percent`` of the larger in common, and 2 * percent / (100 + percent) of the smaller. So
+    the first common shingle is among the first ``n - common + 1`` of each, and what follows it in both is common enough.
+    """
+    shingles = nodes.select("node", "label").join(sets, "node").select("node", "label", F.explode("set").alias("s"))
+    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("s", "often")
+    shared = shingles.join(often, "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    own = nodes.join(shared, "node").withColumn("alone", F.expr("cast(n - size(shared) AS int)"))
+    prefix = F.expr(f"cast(greatest(0, n - (n * {percent} + 99) div 100 + 1 - alone) AS int)")
+    places = own.select(*nodes.columns, "alone", F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("i", "x"))
+    places = places.select(*nodes.columns, (F.col("alone") + F.col("i")).alias("place"), F.col("x.s").alias("s"))
+    places = written(places, "prefixes")
+    smaller = places.where(f"place <= n - (2 * {percent} * n + {percent + 99}) div {percent + 100}")
+    a, b = places.alias("a"), smaller.alias("b")
+    order = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") > F.col("b.node")))
+    apart = (F.col("a.label") != F.col("b.label")) & (F.col("a.loose") | F.col("b.loose"))
+    follow = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    enough = (100 + percent) * follow >= percent * (F.col("a.n") + F.col("b.n"))
+    found = a.join(b, (F.col("a.s") == F.col("b.s")) & order & apart & enough & possible())
+    out = written(found.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct(), "beside")
+    discard(places)
+    return out
+
+
+def linked(distinct: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, label of linked classes: the least node of each component. distinct: node, id, t, n, bands, sketch."""
+    limit = sketch_limit(percent)
     # buckets of two members or more; the hub is the member that meets most others over all its buckets, of these the least
-    # (by bitwise not: the id that stands for null has no negative)
-    members = distinct.select("id", F.explode("bands").alias("bucket"))
+    members = distinct.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(members.join(shared, "bucket"), "members")
-    met = members.groupBy("id").agg(F.sum("size").alias("met"))
-    hubs = members.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.bitwise_not("id").alias("least"))).alias("hub"))
-    near = written(members.join(hubs.select("bucket", F.bitwise_not("hub.least").alias("hub")), "bucket").select("id", "hub").distinct(), "near")
-    sets = full_sets(own, near.select("id").distinct(), shingle)
-    short = distinct.select("id", "n", *SKETCH)
-    pairs = near.where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-    pairs = pairs.join(short.alias("a"), F.col("u") == F.col("a.id")).join(short.alias("b"), F.col("v") == F.col("b.id"))
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("hub"))
+    near = written(members.join(hubs.select("bucket", (-F.col("hub.least")).alias("hub")), "bucket").select("node", "hub").distinct(), "near")
+    discard(members)
+    short = distinct.select("node", "n", *SKETCH)
+    sets = full_sets(docs, near.select("node").distinct().join(distinct.select("node", "id", "t"), "node"), shingle)
+    pairs = near.where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    pairs = pairs.join(short.alias("a"), F.col("u") == F.col("a.node")).join(short.alias("b"), F.col("v") == F.col("b.node"))
     stars = written(pairs.where(_sifted(limit, percent)).select("u", "v"), "stars")
-    labels = components(compared(stars, sets, percent))
+    links = compared(stars, sets, percent)
+    labels = components(links)
     # what has a hub in common, but isn't in one component yet
     top = labels.select(F.col("id").alias("hub"), F.col("label").alias("top"))
-    named = near.join(labels, "id", "left").join(top, "hub", "left").select("id", "hub", F.coalesce("label", "id").alias("label"), F.coalesce("top", "hub").alias("top"))
-    apart = named.where("label <> top").select("hub").distinct()
-    mixed = written(named.join(apart, "hub", "left_semi"), "mixed")
-    mixed = written(mixed.join(beside(mixed.select("id", "hub"), sets), ["id", "hub"]).join(short, "id"), "beside")
-    a, b = mixed.where("label <> top").alias("a"), mixed.alias("b")
-    once = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.top")) | (F.col("a.id") < F.col("b.id")))
-    rest = a.join(b, (F.col("a.hub") == F.col("b.hub")) & once & _sifted(limit, percent) & _bounded(percent))
-    rest = rest.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
-    more = compared(rest.join(stars, ["u", "v"], "left_anti"), sets, percent)
+    named = near.join(labels.withColumnRenamed("id", "node"), "node", "left").join(top, "hub", "left").select("node", "hub", F.coalesce("label", "node").alias("label"), F.coalesce("top", "hub").alias("top"))
+    named = written(named, "named")
+    mixed = named.join(named.where("label <> top").select("hub").distinct(), "hub", "left_semi")
+    mixed = written(mixed.groupBy("node", "label").agg(F.bool_or(F.col("label") != F.col("top")).alias("loose")).join(short, "node"), "mixed")
+    discard(near, named)
+    beside = prefix_pairs(mixed, sets, percent, lambda: _sifted(limit, percent))
+    more = compared(beside.join(stars, ["u", "v"], "left_anti"), sets, percent)
+    discard(mixed, beside, stars, links, sets)
     if not more.isEmpty():
-        labels = components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(more))
-    found = classes.select("c1", "c2", "n", F.col("first.id").alias("class_id")).join(labels, F.col("class_id") == F.col("id"), "left")
-    found = found.select("c1", "c2", "n", "class_id", F.coalesce("label", "class_id").alias("component_id"))
-    alone = rows.where("n = 0").select("id", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
-    out = rows.where("n > 0").select("id", "n", "c1", "c2").join(found, ["c1", "c2", "n"]).select("id", "n", "class_id", "component_id").union(alone)
-    named = [F.when(F.col(c) != LEAST, F.col(c)).alias(x) for c, x in (("id", "doc_id"), ("class_id", "class_id"), ("component_id", "component_id"))]
-    return out.select(named[0], F.col("n").alias("n_shingles"), *named[1:])
+        first, labels = labels, components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(more))
+        discard(first)
+    discard(more)
+    return labels
+
+
+def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """id, t, n, class_id, component_id, kept of every row of ``keyed_text``.
+
+    kept: the row's text is that of its component's first row (by id); all rows without words are kept.
+    """
+    rows = written(profiles(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    first = F.min(F.struct("id", "row", "t")).alias("first")
+    classes = rows.where("n > 0").groupBy("c1", "c2", "n").agg(first, F.count(F.lit(1)).alias("size"))
+    classes = written(classes.select("c1", "c2", "n", "size", F.col("first.row").alias("node"), F.col("first.id").alias("class_id"), F.col("first.t").alias("class_t")), "classes")
+    distinct = rows.withColumnRenamed("row", "node").join(classes.select("node"), "node", "left_semi")
+    distinct = written(distinct.select("node", "id", "t", "n", "bands", *SKETCH), "distinct")
+    labels = linked(distinct, docs, shingle, percent)
+    named = classes.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # only components of two classes or more: those whose least node is a label of another
+    several = labels.select("label").distinct()
+    tops = named.join(several, "label", "left_semi").groupBy("label").agg(F.min(F.struct("class_id", "node")).alias("top"))
+    named = named.join(tops, "label", "left").withColumn("component_id", F.coalesce("top.class_id", "class_id")).withColumn("first", F.coalesce("top.node", "node") == F.col("node"))
+    found = written(named.where(~F.col("first") | (F.col("size") > 1) | F.col("top").isNotNull()).select("c1", "c2", "n", "size", "class_id", "class_t", "component_id", "first"), "found")
+    discard(classes, distinct, labels)
+    # a row that isn't found is a class and a component of its own; rows of hot classes stay where they are
+    most = max(HOT_ROWS, rows.count() // 1000)
+    narrow, keys = rows.select("id", "t", "n", "c1", "c2"), ["c1", "c2", "n"]
+    hot, rest = found.where(F.col("size") > most).drop("size"), found.where(F.col("size") <= most).drop("size")
+    sent = narrow.join(F.broadcast(hot), keys, "left")
+    joined = sent.where("class_id IS NULL").select(*narrow.columns).join(rest, keys, "left")
+    out = sent.where("class_id IS NOT NULL").unionByName(joined)
+    kept = F.coalesce(F.col("first") & (F.col("id") == F.col("class_id")) & (F.col("t") == F.col("class_t")), F.lit(True))
+    return out.select("id", "t", "n", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), kept.alias("kept"))
+
+
+def _unless_least(c: str, name: str) -> Column:
+    return F.when(F.col(c) != LEAST, F.col(c)).alias(name)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id (least id of equal sets), component_id (least id reachable) of every row."""
+    out = grouped(keyed_text(docs, id_col, text_col), shingle, percent)
+    return out.select(_unless_least("id", "doc_id"), F.col("n").alias("n_shingles"), _unless_least("class_id", "class_id"), _unless_least("component_id", "component_id"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each group, as it is: the one of the least id, null being below all others; and all without words.
+
+    Where its id and text are in several rows, which are then copies of one another, one of these stays. Other texts of
+    the same id are other documents.
+    """
+    out = written(grouped(keyed_text(docs, id_col, text_col), shingle, percent).select("id", "t", "n", "kept"), "verdicts")
+    gone = written(out.where("NOT kept").select("id", "t").distinct(), "gone")
+    again = written(out.where("kept AND n > 0").groupBy("id", "t").count().where("count > 1").select("id", "t"), "again")
+    discard(out)
+    left = matching(docs, gone, "left_anti", id_col, text_col, MAX_IDS)
+    if again.isEmpty():
+        return left
+    one = matching(left, again, "left_semi", id_col, text_col, MAX_IDS).dropDuplicates([id_col, text_col])
+    return matching(left, again, "left_anti", id_col, text_col, MAX_IDS).unionByName(one)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
