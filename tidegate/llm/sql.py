@@ -45,12 +45,16 @@ WITH d AS (
 ), m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(ls) AS n_lines,
+    len(list_filter(ws, lambda w: w = '|')) AS n_bars, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+    len(list_filter(ls, lambda l: regexp_matches(l, '([.]{3}|…)[\x20\x09-\x0D]*\z'))) AS n_cut, len(list_filter(ls, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullets,
+    len(list_distinct(ws)) AS n_distinct, coalesce(list_max(list_transform(ws, lambda w: length(w))), 0) AS longest,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN r USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR (2 * n_symbols > n_words AND 10 * n_symbols > word_chars)
-    OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+    OR 10 * n_dup_lines > 5 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 4 * n_bars > n_words
+    OR 2 * n_capitals > word_chars OR 10 * n_cut > 3 * n_lines OR 10 * n_bullets > 9 * n_lines OR (n_words >= 100 AND n_distinct < 30) OR longest > 1000) AS kept
 FROM m
 """
