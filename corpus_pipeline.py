@@ -27,17 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document of the least id stays; repeated rows of it are one."""
+    """Of each group the document of the least id stays; texts that are copies of nothing stay, whatever their ids."""
     ship(spark)
-    found = neardup.near_duplicates(docs)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "gone")
-    # texts stay where they are while the ids are few enough to be sent to them
-    kept = docs.join(F.broadcast(gone) if gone.count() <= neardup.MAX_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]) if _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
