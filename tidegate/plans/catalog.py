@@ -673,9 +673,9 @@ def _(spark, d):
     return replicas.first_complete(_copies(spark, d).withColumn("complete", F.expr("(grp + replica) % 3 <> 0 AND grp <> 8")), "grp", "replica", "complete")
 
 
-@query("i4_resumed_read", "SELECT map_id, attempt, p, seq, CASE WHEN map_id % 2 = 0 AND seq <= 10 + map_id THEN 'first' ELSE 'second' END AS source FROM blocks WHERE p = 2", ("blocks",))
+@query("i4_resumed_read", "SELECT map_id, attempt, p, seq, CASE WHEN map_id % 2 = 0 AND seq <= 10 + map_id THEN 'first' ELSE 'second' END AS source FROM blocks", ("blocks",))
 def _(spark, d):
-    b = derived(spark, d, "blocks").where("p = 2").select("map_id", "attempt", "p", "seq")
+    b = derived(spark, d, "blocks").select("map_id", "attempt", "p", "seq")
     taken = b.where("map_id % 2 = 0").groupBy("map_id", "attempt", "p").agg(F.max(F.col("map_id") + 10).alias("n"))
     return replicas.resumed(b, b, taken, ["map_id", "attempt", "p"])
 
