@@ -64,3 +64,20 @@ def file_state(recorded: Column, actual: Column) -> Column:
 
 def map_status_verdict(n_maps: Column, n_servers: Column, want_maps: int, want_servers: int) -> Column:
     return F.when(n_maps != want_maps, "wrong_maps").when(n_servers != want_servers, "wrong_servers").otherwise("ok")
+
+
+def snapshot(blocks: DataFrame, commits: DataFrame, by: Sequence[str], keys: Sequence[str], length: str) -> DataFrame:
+    """What a stage's files hold when it is first read: blocks and bytes of the committed attempts."""
+    return live(blocks, commits, keys).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("length"))
+
+
+def save_once(rows: DataFrame, path: str) -> DataFrame:
+    """The rows as they were first saved: written if nothing is there yet, read back in any case."""
+    rows.write.mode("ignore").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def start_again(rows: DataFrame, path: str) -> DataFrame:
+    """A new start takes the place of what was saved."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -118,12 +118,43 @@ def two_level(df: DataFrame, keys: Sequence[str], part: str, value: str) -> Data
     return inner.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
-def best_effort_combine(df: DataFrame, task: str, keys: Sequence[str], seq: str, value: str, flush_every: int) -> DataFrame:
-    """What map tasks write if each combines in a table that it writes out whole after ``flush_every`` records.
+def _bucket(order: str, width: int) -> Column:
+    return F.floor(F.col(order) / width).alias("_bucket")
+
+
+def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left rows with the right's other columns; null keys meet."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(renamed, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str | Column, width: int, out: str = "running") -> DataFrame:
+    """The sum of ``value`` over a key's rows up to each, in order of an integer that differs within the key.
+
+    Rows are summed in buckets of ``width`` of the order, so that no task sorts more of a key than one bucket; the buckets'
+    sums, one row each, say where each begins.
+    """
+    keys, own = list(keys), df.select("*", _bucket(order, width), (value if isinstance(value, Column) else F.col(value)).alias("_value"))
+    sums = own.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = _with(own.withColumn("_inner", F.sum("_value").over(inner)), base, [*keys, "_bucket"])
+    return both.withColumn(out, F.col("_base") + F.col("_inner")).drop("_bucket", "_value", "_inner", "_base")
+
+
+def flushes(df: DataFrame, task: str, order: str, width: int, every: int, size: str | None = None, out: str = "epoch") -> DataFrame:
+    """The number of the flush that writes each record, if a map task writes its table out after ``every`` records, or bytes."""
+    total = running_sum(df, [task], order, size if size else F.lit(1), width, "_total")
+    return total.withColumn(out, F.floor((F.greatest(F.col("_total"), F.lit(1)) - 1) / every).cast("long")).drop("_total")
+
+
+def best_effort_combine(df: DataFrame, task: str, epoch: str, keys: Sequence[str], value: str) -> DataFrame:
+    """What map tasks write if each combines in a table by (partition, key) that it writes out whole at each flush.
 
     One row a task, flush and key: ``combined`` values of ``records`` records.
     """
-    epoch = F.floor((F.col(seq) - 1) / flush_every).cast("long").alias("epoch")
     return df.groupBy(task, epoch, *keys).agg(F.sum(value).alias("combined"), F.count(F.lit(1)).alias("records"))
 
 
@@ -136,9 +167,35 @@ def latest(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max(by).alias(by))
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], order: str, value: str, size: int, out: str = "average") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size - 1), 0)
-    return df.withColumn(out, F.round(F.avg(value).over(w), 4))
+def moving_average(df: DataFrame, keys: Sequence[str], order: str, value: str, size: int, width: int, out: str = "average", scale: int = 0, block: int = 1_000_000) -> DataFrame:
+    """Of each row the average of it and the ``size - 1`` rows before, half rounded up to ``scale`` decimals (0: a long).
+
+    Rows are numbered (in buckets of ``width``, as in ``running_sum``) and averaged in blocks of ``block`` rows; the last rows
+    of a block are also sent to the next, so no task sorts more of a key than that.
+    """
+    keys, block = list(keys), max(block, size)
+    own = running_sum(df, keys, order, F.lit(1), width, "_at").withColumn("_block", F.floor((F.col("_at") - 1) / block)).withColumn("_sent", F.lit(False))
+    tail = own.where((F.col("_at") - 1) % block >= block - (size - 1)).withColumn("_block", F.col("_block") + 1).withColumn("_sent", F.lit(True))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rowsBetween(-(size - 1), 0)
+    average = F.floor(F.avg(value).over(w) * 10**scale + 0.5)
+    rows = own.unionByName(tail).withColumn(out, average if scale == 0 else average / 10**scale)
+    return rows.where("NOT _sent").drop("_at", "_block", "_sent")
+
+
+def one_value(df: DataFrame, keys: Sequence[str], value: str, out: str = "consistent") -> DataFrame:
+    """Whether a key has one value alone."""
+    return df.groupBy(*keys).agg((F.count_distinct(value) == 1).alias(out))
+
+
+def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of two rows or more, and how many."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
+    """The first n rows of each key; Spark keeps n a task before it moves any."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
 
 
 def is_sorted(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:

@@ -56,6 +56,12 @@ def routed_split(attempt: Column, splits: int) -> Column:
     return F.pmod(attempt, F.lit(splits))
 
 
+def candidates(servers: DataFrame, most: int, within: tuple[str, ...] = (), order: str = "server_id") -> DataFrame:
+    """Those that are asked, in the registry's order: a few more than ``most``, since some may not be reached."""
+    w = Window.partitionBy(*within).orderBy(order)
+    return servers.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most + min(5, most)).drop("_k")
+
+
 def ranked(servers: DataFrame, most: int, within: tuple[str, ...] = (), tolerance: int = 500) -> DataFrame:
     """The ``most`` best reachable servers: by latency in steps of ``tolerance``, then connections, then id.
 
@@ -67,7 +73,7 @@ def ranked(servers: DataFrame, most: int, within: tuple[str, ...] = (), toleranc
 
 def sampled(servers: DataFrame, n: int, seed: int) -> DataFrame:
     """n servers, the same ones for a seed."""
-    return servers.orderBy(F.xxhash64("server_id", F.lit(seed)), "server_id").limit(n)
+    return servers.orderBy(F.md5(F.concat_ws("-", F.col("server_id").cast("string"), F.lit(str(seed)))), "server_id").limit(n)
 
 
 def changed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

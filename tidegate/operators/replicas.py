@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def write_outcomes(steps: DataFrame, group: str, replica: str, step: str, ok: str) -> DataFrame:
-    """Each step of a group: the replicas still used, those that took it, and whether it succeeded.
+    """Each step of a group, sent to all replicas still alive: used, took, succeeded, and a status.
 
-    A replica that fails once is not written to again; a step succeeds if one replica takes it.
+    A replica that fails once is not written to again. A step succeeds if one replica takes it, has failed if none of those
+    used does, and is in error (no_replica) if none was left. steps: a row for each replica that the group has.
     """
-    before = Window.partitionBy(group, replica).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    lived = steps.withColumn("alive", F.coalesce(F.min(F.col(ok).cast("int")).over(before), F.lit(1)) == 1)
-    used = lived.groupBy(group, step).agg(F.count_if("alive").alias("used"), F.count_if(F.col("alive") & F.col(ok)).alias("took"))
-    return used.withColumn("succeeded", F.col("took") > 0)
+    failed = steps.where(~F.col(ok)).groupBy(group, replica).agg(F.min(step).alias("_failed"))
+    lived = steps.join(failed, [group, replica], "left").withColumn("_alive", F.col("_failed").isNull() | (F.col(step) <= F.col("_failed")))
+    used = lived.groupBy(group, step).agg(F.count_if("_alive").alias("used"), F.count_if(F.col("_alive") & F.col(ok)).alias("took"))
+    status = F.when(F.col("took") > 0, "ok").when(F.col("used") > 0, "failed").otherwise("no_replica")
+    return used.withColumn("succeeded", F.col("took") > 0).withColumn("status", status)
 
 
 def byte_agreement(copies: DataFrame, group: str, n_bytes: str) -> DataFrame:
@@ -48,7 +50,17 @@ def count_differences(read: DataFrame, taken: DataFrame, keys: Sequence[str], n:
 
 
 def content_differences(first: DataFrame, second: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Blocks that aren't the same in both copies, over all blocks: side says which has it."""
+    """Blocks that aren't the same in both copies, over all blocks, repeated ones as often as they are more: side says where.
+
+    Each copy is read once, and counted before it is moved.
+    """
     own = [*keys, value]
-    left = first.select(*own).exceptAll(second.select(*own)).withColumn("side", F.lit("first"))
-    return left.unionByName(second.select(*own).exceptAll(first.select(*own)).withColumn("side", F.lit("second")))
+    both = first.select(*own, F.lit(1).alias("_n")).unionByName(second.select(*own, F.lit(-1).alias("_n")))
+    more = both.groupBy(*own).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))
+    return more.withColumn("_k", times).select(*own, F.when(F.col("_n") > 0, "first").otherwise("second").alias("side"))
+
+
+def in_turn(blocks: DataFrame, partition: str, groups: int) -> DataFrame:
+    """Blocks with the group that holds them, those of one group after those of another, as a reader goes through them."""
+    return blocks.withColumn("group_id", F.pmod(F.col(partition), F.lit(groups))).orderBy("group_id")

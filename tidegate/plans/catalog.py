@@ -102,9 +102,7 @@ def _(spark, d):
 
 @query("a11_registry", "SELECT server_id, version, connection FROM servers WHERE dc = 'ASIA' AND connection NOT LIKE '%host1%' AND cluster = (SELECT min(cluster) FROM servers WHERE dc = 'ASIA') ORDER BY server_id LIMIT 5", ("servers",))
 def _(spark, d):
-    servers = derived(spark, d, "servers")
-    cluster = servers.where("dc = 'ASIA'").agg(F.min("cluster")).first()[0]
-    return registered(servers, "ASIA", cluster or "", 5, ["host1"]).select("server_id", "version", "connection")
+    return registered(derived(spark, d, "servers"), "ASIA", None, 5, ["host1"]).select("server_id", "version", "connection")
 
 
 @query("a11_lookup", "SELECT server_id, connection FROM servers WHERE server_id IN (3, 7, 500000)", ("servers",))
@@ -205,9 +203,9 @@ def _(spark, d):
 @query("c3_ranges_descend", "SELECT CAST(5 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS overlaps, count(*) AS n FROM orders")
 def _(spark, d):
     own = keyed.sorted_ranges(table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey").desc(), 5).groupBy(F.spark_partition_id().alias("p")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"), F.count(F.lit(1)).alias("k"))
-    other = own.select(F.col("p").alias("q"), F.col("b").alias("b2"))
-    overlaps = own.join(other, (F.col("q") > F.col("p")) & (F.col("b2") > F.col("a"))).agg(F.count(F.lit(1)).alias("overlaps"))
-    return own.agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("n")).join(overlaps)
+    # one row a partition; neighbours tell whether the whole descends
+    rows = own.agg(F.array_sort(F.collect_list(F.struct("p", "a", "b", "k"))).alias("r"))
+    return rows.selectExpr("cast(size(r) as long) AS parts", "cast(size(filter(r, (x, i) -> i > 0 AND x.b > r[greatest(i - 1, 0)].a)) as long) AS overlaps", "aggregate(r, 0L, (s, x) -> s + x.k) AS n")
 
 
 @query("c4_one_partition", "SELECT CAST(0 AS BIGINT) AS p, count(*) AS n FROM orders")
@@ -288,19 +286,28 @@ def _(spark, d):
     return lines(spark, d).groupBy(F.col("l_returnflag").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("least"))
 
 
-D9 = "SELECT map_id, CAST(floor((seq - 1) / 50) AS BIGINT) AS epoch, l_partkey % 20 AS k, CAST(sum(len) AS BIGINT) AS combined, count(*) AS records FROM (SELECT map_id, len, l_partkey, row_number() OVER (PARTITION BY map_id ORDER BY attempt, p, seq) AS seq FROM blocks) GROUP BY 1, 2, 3"
+#: The order of a map task's records, in one number: attempts one after another, of each the partitions.
+ORDER = "(attempt * 8 + p) * 1000000000 + seq"
+D9 = f"""SELECT map_id, CAST(floor((place - 1) / 50) AS BIGINT) AS epoch, p, l_partkey % 20 AS k, CAST(sum(len) AS BIGINT) AS combined, count(*) AS records
+FROM (SELECT map_id, p, len, l_partkey, row_number() OVER (PARTITION BY map_id ORDER BY {ORDER}) AS place FROM blocks) GROUP BY 1, 2, 3, 4"""
+D9_SIZE = f"""SELECT map_id, CAST(floor((greatest(total, 1) - 1) / 20000) AS BIGINT) AS epoch, p, l_partkey % 20 AS k, CAST(sum(len) AS BIGINT) AS combined, count(*) AS records
+FROM (SELECT map_id, p, len, l_partkey, sum(len) OVER (PARTITION BY map_id ORDER BY {ORDER}) AS total FROM blocks) GROUP BY 1, 2, 3, 4"""
 
 
-def _combined(spark, d):
-    from pyspark.sql import Window
-
-    rows = derived(spark, d, "blocks").withColumn("seq", F.row_number().over(Window.partitionBy("map_id").orderBy("attempt", "p", "seq"))).withColumn("k", F.col("l_partkey") % 20)
-    return keyed.best_effort_combine(rows, "map_id", ["k"], "seq", "len", 50)
+def _combined(spark, d, every, size=None):
+    rows = derived(spark, d, "blocks").selectExpr("map_id", "p", "len", "l_partkey % 20 AS k", f"{ORDER} AS o")
+    return keyed.best_effort_combine(keyed.flushes(rows, "map_id", "o", 1_000_000_000, every, size), "map_id", "epoch", ["p", "k"], "len")
 
 
 @query("d9_best_effort_combine", D9, ("blocks",))
 def _(spark, d):
-    return _combined(spark, d)
+    return _combined(spark, d, 50)
+
+
+@query("d9_combine_by_size", D9_SIZE, ("blocks",))
+def _(spark, d):
+    """Flushed whenever a task has taken 20,000 bytes more."""
+    return _combined(spark, d, 20000, "len")
 
 
 @query("d10_no_combine", "SELECT map_id, count(*) AS written FROM blocks GROUP BY 1", ("blocks",))
@@ -310,7 +317,7 @@ def _(spark, d):
 
 @query("d11_reduction_factor", f"SELECT map_id, CASE WHEN sum(records) = 0 THEN 0.0 ELSE round(1 - CAST(count(*) AS DOUBLE) / CAST(sum(records) AS DOUBLE), 6) END AS factor FROM ({D9}) GROUP BY 1", ("blocks",))
 def _(spark, d):
-    own = _combined(spark, d).groupBy("map_id").agg(F.sum("records").alias("r"), F.count(F.lit(1)).alias("w"))
+    own = _combined(spark, d, 50).groupBy("map_id").agg(F.sum("records").alias("r"), F.count(F.lit(1)).alias("w"))
     return own.select("map_id", keyed.reduction_factor(F.col("r"), F.col("w")).alias("factor"))
 
 
@@ -344,7 +351,7 @@ def _(spark, d):
 
 @query("d16_one_value", "SELECT app, count(DISTINCT num_partitions) = 1 AS consistent FROM state_log GROUP BY 1", ("state_log",))
 def _(spark, d):
-    return derived(spark, d, "state_log").groupBy("app").agg((F.count_distinct("num_partitions") == 1).alias("consistent"))
+    return keyed.one_value(derived(spark, d, "state_log"), ["app"], "num_partitions")
 
 
 @query("d17_longest_per_file", "SELECT p, map_id, max(len) AS length FROM blocks GROUP BY 1, 2", ("blocks",))
@@ -357,9 +364,9 @@ def _(spark, d):
     return derived(spark, d, "blocks").groupBy("map_id").agg(F.sum("len").alias("n_bytes"))
 
 
-@query("d19_moving_average", "SELECT event_id, round(avg(n_bytes) OVER (PARTITION BY app ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 4) AS average FROM app_events", ("app_events",))
+@query("d19_moving_average", "SELECT event_id, CAST(floor(avg(n_bytes) OVER (PARTITION BY app ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 0.5) AS BIGINT) AS average FROM app_events", ("app_events",))
 def _(spark, d):
-    return keyed.moving_average(derived(spark, d, "app_events"), ["app"], "event_id", "n_bytes", 10).select("event_id", "average")
+    return keyed.moving_average(derived(spark, d, "app_events"), ["app"], "event_id", "n_bytes", 10, 1_000_000).select("event_id", "average")
 
 
 @query("d20_rates", "SELECT app, time_bucket(INTERVAL '1 hour', ts) AS start, CAST(sum(n_bytes) AS BIGINT) AS total, round(CAST(sum(n_bytes) AS DOUBLE) / 3600, 6) AS rate FROM app_events GROUP BY 1, 2", ("app_events",))
@@ -410,10 +417,7 @@ def _(spark, d):
 
 @query("e5_top_per_group", "SELECT dc, server_id FROM (SELECT dc, server_id, row_number() OVER (PARTITION BY dc ORDER BY conns, server_id) AS k FROM servers) WHERE k <= 3", ("servers",))
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("dc").orderBy("conns", "server_id")
-    return derived(spark, d, "servers").withColumn("k", F.row_number().over(w)).where("k <= 3").select("dc", "server_id")
+    return keyed.top_per_group(derived(spark, d, "servers"), ["dc"], ["conns", "server_id"], 3).select("dc", "server_id")
 
 
 @query("e6_distinct", "SELECT DISTINCT map_id, attempt FROM blocks", ("blocks",))
@@ -423,7 +427,7 @@ def _(spark, d):
 
 @query("e6_duplicates", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, d):
-    return lines(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return keyed.duplicates(lines(spark, d), ["l_orderkey", "l_linenumber"])
 
 
 @query("e7_nine_digits", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS str FROM orders")
@@ -464,13 +468,11 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ F: placement
 
-ALL_SHAPES = "SELECT p_size AS maps, p_size * 3 % 70 + 1 AS parts, p_size % 3 + 1 AS replicas, p_size % 5 AS least FROM part"
-#: What the SQL reads; the queries read all of part.
-SHAPES = f"{ALL_SHAPES} WHERE p_partkey < 500"
+SHAPES = "SELECT p_size AS maps, p_size * 3 % 70 + 1 AS parts, p_size % 3 + 1 AS replicas, p_size % 5 AS least FROM part"
 
 
 def _shapes(spark, d):
-    return spark.sql(ALL_SHAPES.replace("FROM part", "FROM {part} part"), part=table(spark, d, "part")).distinct()
+    return spark.sql(SHAPES.replace("FROM part", "FROM {part} part"), part=table(spark, d, "part")).distinct()
 
 
 @query("f1_server_count", f"SELECT DISTINCT maps, parts, replicas, least, CAST(greatest(greatest(least(50, ceil(greatest(maps, parts) / 20.0), parts), 1) * replicas, least) AS BIGINT) AS servers FROM ({SHAPES})")
@@ -512,14 +514,16 @@ def _(spark, d):
     return spark.range(0, 10000, 123).select(F.col("id").alias("maps"), placement.split_count(F.col("id"), F.lit(800), F.lit(1), F.lit(6)).alias("splits"))
 
 
-@query("f8_candidates", "SELECT dc, server_id, k AS place FROM (SELECT dc, server_id, row_number() OVER (PARTITION BY dc ORDER BY floor(latency / 500), conns, server_id) AS k FROM servers WHERE latency IS NOT NULL) WHERE k <= 5", ("servers",))
+@query("f8_candidates", """SELECT dc, server_id, k AS place FROM (SELECT dc, server_id, row_number() OVER (PARTITION BY dc ORDER BY floor(latency / 500), conns, server_id) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY dc ORDER BY server_id) AS c FROM servers) WHERE c <= 10 AND latency IS NOT NULL) WHERE k <= 5""", ("servers",))
 def _(spark, d):
-    return placement.ranked(derived(spark, d, "servers"), 5, ("dc",)).select("dc", "server_id", "place")
+    asked = placement.candidates(derived(spark, d, "servers"), 5, ("dc",))
+    return placement.ranked(asked, 5, ("dc",)).select("dc", "server_id", "place")
 
 
-@query("f9_sample", "SELECT least(10, count(*)) AS n FROM servers", ("servers",))
+@query("f9_sample", "SELECT server_id FROM servers ORDER BY md5(concat(server_id, '-42')), server_id LIMIT 10", ("servers",))
 def _(spark, d):
-    return placement.sampled(derived(spark, d, "servers"), 10, 42).agg(F.count_distinct("server_id").alias("n"))
+    return placement.sampled(derived(spark, d, "servers"), 10, 42).select("server_id")
 
 
 @query("f10_restarts", "SELECT server_id, version AS was, CASE WHEN server_id % 4 <> 0 THEN concat(version, CASE WHEN server_id % 9 = 0 THEN 'x' ELSE '' END) END AS now FROM servers WHERE server_id % 4 = 0 OR server_id % 9 = 0", ("servers",))
@@ -543,7 +547,25 @@ def _(spark, d):
 # ------------------------------------------------------------------ G: blocks
 
 
-@query("g1_packed_blocks")
+#: One record of every task a step: sizes and counts of the open buffers, and those that leave.
+G1 = """, r AS (SELECT map_id AS task, p, len, row_number() OVER (PARTITION BY map_id ORDER BY (attempt * 1000000 + seq) * 8 + p) AS i FROM blocks),
+a AS (SELECT task, i, p, list_transform(range(0, 8), lambda k: CASE WHEN k = p THEN len ELSE 0 END) AS sizes, list_transform(range(0, 8), lambda k: CASE WHEN k = p THEN 1 ELSE 0 END) AS counts FROM r),
+f AS (
+  SELECT DISTINCT task, CAST(0 AS BIGINT) AS i, list_transform(range(0, 8), lambda k: CAST(0 AS BIGINT)) AS sizes, list_transform(range(0, 8), lambda k: CAST(0 AS BIGINT)) AS counts,
+    list_transform(range(0, 8), lambda k: CAST(0 AS BIGINT)) AS gone_sizes, list_transform(range(0, 8), lambda k: CAST(0 AS BIGINT)) AS gone_counts FROM r
+  UNION ALL
+  SELECT task, i, list_transform(s, lambda x, k: CASE WHEN whole OR (full_one AND k = p + 1) THEN 0 ELSE x END), list_transform(c, lambda x, k: CASE WHEN whole OR (full_one AND k = p + 1) THEN 0 ELSE x END),
+    list_transform(s, lambda x, k: CASE WHEN whole OR (full_one AND k = p + 1) THEN x ELSE 0 END), list_transform(c, lambda x, k: CASE WHEN whole OR (full_one AND k = p + 1) THEN x ELSE 0 END)
+  FROM (SELECT *, s[p + 1] >= 2048 AS full_one, s[p + 1] < 2048 AND list_sum(s) >= 12288 AS whole FROM (
+    SELECT f.task, a.i, a.p, list_transform(f.sizes, lambda x, k: CAST(x + a.sizes[k] AS BIGINT)) AS s, list_transform(f.counts, lambda x, k: CAST(x + a.counts[k] AS BIGINT)) AS c
+    FROM f JOIN a ON a.task = f.task AND a.i = f.i + 1))
+), o AS (
+  SELECT task, i, gone_sizes AS s, gone_counts AS c FROM f UNION ALL SELECT task, i + 1, sizes, counts FROM f WHERE i = (SELECT max(r.i) FROM r WHERE r.task = f.task)
+)
+SELECT task, CAST(k - 1 AS BIGINT) AS p, row_number() OVER (PARTITION BY task ORDER BY i, k) - 1 AS block, c[k] AS n_records, s[k] AS bytes FROM o, range(1, 9) t(k) WHERE c[k] > 0"""
+
+
+@query("g1_packed_blocks", _after_with(["blocks"], G1).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     """Buffers of 2 KiB and a spill at 12 KiB, folded in each map task."""
     return buffers.pack_blocks(derived(spark, d, "blocks"), "map_id", "p", "(attempt * 1000000 + seq) * 8 + p", "len", 2048, 12288)
@@ -603,12 +625,12 @@ def _(spark, d):
     return derived(spark, d, "commits").join(b, ["map_id", "attempt"], "left").select("map_id", "attempt", F.coalesce("n", F.lit(0)).alias("n_blocks"))
 
 
-H6 = "SELECT w.p, count(*) AS wanted, count(*) - count(c.map_id) AS missing, CASE WHEN count(*) = count(c.map_id) THEN 'ok' WHEN count(c.map_id) = 0 THEN 'not_started' ELSE 'not_available' END AS status FROM (SELECT DISTINCT p, map_id, attempt FROM blocks WHERE map_id <> 9 OR p > 3) w LEFT JOIN commits c ON c.map_id = w.map_id AND c.attempt = w.attempt GROUP BY 1"
+H6 = "SELECT w.p, count(*) AS wanted, count(*) - count(c.map_id) AS missing, CASE WHEN count(*) = count(c.map_id) THEN 'ok' WHEN count(c.map_id) = 0 THEN 'not_started' ELSE 'not_available' END AS status FROM (SELECT DISTINCT p, map_id, attempt FROM blocks) w LEFT JOIN commits c ON c.map_id = w.map_id AND c.attempt = w.attempt GROUP BY 1"
 
 
 @query("h6_availability", H6, ("blocks", "commits"))
 def _(spark, d):
-    fetch = derived(spark, d, "blocks").where("map_id <> 9 OR p > 3").select("p", "map_id", "attempt").distinct()
+    fetch = derived(spark, d, "blocks").select("p", "map_id", "attempt").distinct()
     return commits.availability(fetch, derived(spark, d, "commits"), ["p"], ["map_id", "attempt"])
 
 
@@ -619,14 +641,12 @@ def _(spark, d):
 
 @query("h8_stage_status", "SELECT app, shuffle, CASE WHEN count(*) FILTER (WHERE kind = 'stage') = 0 THEN 'not_started' WHEN count(*) FILTER (WHERE kind = 'corrupt') > 0 THEN 'corrupted' ELSE 'ok' END AS status FROM state_log GROUP BY 1, 2", ("state_log",))
 def _(spark, d):
-    status = F.when(F.count_if(F.col("kind") == "stage") == 0, "not_started").when(F.count_if(F.col("kind") == "corrupt") > 0, "corrupted").otherwise("ok")
-    return derived(spark, d, "state_log").groupBy("app", "shuffle").agg(status.alias("status"))
+    return statelog.stage_status(derived(spark, d, "state_log"))
 
 
 @query("h9_snapshot", "SELECT p, map_id, count(*) AS n, CAST(sum(len) AS BIGINT) AS length FROM blocks b WHERE EXISTS (SELECT 1 FROM commits c WHERE c.map_id = b.map_id AND c.attempt = b.attempt) GROUP BY 1, 2", ("blocks", "commits"))
 def _(spark, d):
-    live = commits.live(derived(spark, d, "blocks"), derived(spark, d, "commits"), ["map_id", "attempt"])
-    return live.groupBy("p", "map_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("length"))
+    return commits.snapshot(derived(spark, d, "blocks"), derived(spark, d, "commits"), ["p", "map_id"], ["map_id", "attempt"], "len")
 
 
 @query("h10_map_statuses", "SELECT attempt, CASE WHEN count(DISTINCT map_id) <> 16 THEN 'wrong_maps' WHEN max(map_id % 5) + 1 <> 5 THEN 'wrong_servers' ELSE 'ok' END AS verdict FROM commits GROUP BY 1", ("commits",))
@@ -643,15 +663,19 @@ def _(spark, d):
 
 # ------------------------------------------------------------------ I: replicas
 
-STEPS = "SELECT map_id AS grp, l_partkey % 3 AS replica, seq * 24 + attempt * 8 + p AS step, NOT (l_partkey % 151 = 7) AS ok FROM blocks"
-I1 = f"""WITH s AS (SELECT grp, replica, step, ok FROM ({STEPS})), a AS (
+#: Every step is sent to three replicas. Replica 0 fails first, then 1 of even groups, then 2 of group 4.
+STEPS = """SELECT map_id AS grp, r AS replica, seq * 24 + attempt * 8 + p AS step,
+  NOT (r = 0 AND seq = 5 OR r = 1 AND map_id % 2 = 0 AND seq = 9 OR r = 2 AND map_id = 4 AND seq = 12) AS ok FROM blocks"""
+I1 = f"""WITH s AS (SELECT grp, replica, step, ok FROM ({STEPS}, (VALUES (0), (1), (2)) t(r))), a AS (
   SELECT *, coalesce(min(CAST(ok AS INT)) OVER (PARTITION BY grp, replica ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 1 AS alive FROM s)
-SELECT grp, step, count(*) FILTER (WHERE alive) AS used, count(*) FILTER (WHERE alive AND ok) AS took, count(*) FILTER (WHERE alive AND ok) > 0 AS succeeded FROM a GROUP BY 1, 2"""
+SELECT grp, step, count(*) FILTER (WHERE alive) AS used, count(*) FILTER (WHERE alive AND ok) AS took, count(*) FILTER (WHERE alive AND ok) > 0 AS succeeded,
+  CASE WHEN count(*) FILTER (WHERE alive AND ok) > 0 THEN 'ok' WHEN count(*) FILTER (WHERE alive) > 0 THEN 'failed' ELSE 'no_replica' END AS status FROM a GROUP BY 1, 2"""
 
 
 @query("i1_replicated_writes", I1.replace("WITH s AS", with_tables(["blocks"], "").rstrip() + ", s AS", 1))
 def _(spark, d):
-    return replicas.write_outcomes(spark.sql(STEPS.replace("FROM blocks", "FROM {blocks} blocks"), blocks=derived(spark, d, "blocks")), "grp", "replica", "step", "ok")
+    steps = STEPS.replace("FROM blocks", "FROM {blocks} LATERAL VIEW explode(array(0, 1, 2)) t AS r")
+    return replicas.write_outcomes(spark.sql(steps, blocks=derived(spark, d, "blocks")), "grp", "replica", "step", "ok")
 
 
 COPIES = "SELECT map_id AS grp, r AS replica, CAST(sum(len) AS BIGINT) + CASE WHEN map_id = 3 AND r = 1 THEN 8 ELSE 0 END AS n_bytes FROM blocks, (VALUES (0), (1), (2)) t(r) GROUP BY 1, 2"
@@ -689,10 +713,9 @@ def _(spark, d):
 
 @query("i6_groups_in_turn", "SELECT p % 3 AS group_id, map_id, count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM blocks GROUP BY 1, 2", ("blocks",))
 def _(spark, d):
-    b = derived(spark, d, "blocks")
-    parts = [b.where(F.col("p") % 3 == g).withColumn("group_id", F.lit(g).cast("long")) for g in range(3)]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return both.groupBy("group_id", "map_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes")).orderBy("group_id")
+    counts = derived(spark, d, "blocks").groupBy("p", "map_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
+    own = counts.withColumn("p", F.pmod("p", F.lit(3))).groupBy("p", "map_id").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    return replicas.in_turn(own, "p", 3).select("group_id", "map_id", "n", "bytes")
 
 
 @query("i7_identity", "SELECT server_id, connection AS was, connection || 'x' AS now FROM servers WHERE server_id % 6 = 1", ("servers",))
@@ -712,9 +735,9 @@ def _(spark, d):
 
 
 J3 = """SELECT app, shuffle, CASE WHEN count(*) FILTER (WHERE kind = 'corrupt') > 0 OR count(DISTINCT num_partitions) FILTER (WHERE kind = 'stage') > 1
-    OR (count(*) FILTER (WHERE kind = 'stage') = 0 AND count(*) FILTER (WHERE kind = 'commit') > 0) THEN 'corrupted' ELSE 'ok' END AS status,
-  count(*) FILTER (WHERE kind = 'commit') AS commits, CAST(coalesce(max(start + splits) FILTER (WHERE kind = 'stage'), 0) AS BIGINT) AS next_start
-FROM state_log WHERE kind <> 'delete' AND app NOT IN (SELECT app FROM state_log WHERE kind = 'delete') GROUP BY 1, 2"""
+    OR count(DISTINCT splits) FILTER (WHERE kind = 'stage') > 1 OR min(seq) FILTER (WHERE kind = 'commit') < min(seq) FILTER (WHERE kind = 'stage') THEN 'corrupted' ELSE 'ok' END AS status,
+  count(*) FILTER (WHERE kind = 'commit') AS commits, CAST(max(start + splits) FILTER (WHERE kind = 'stage') AS BIGINT) AS next_start
+FROM state_log WHERE kind <> 'delete' AND app NOT IN (SELECT app FROM state_log WHERE kind = 'delete') GROUP BY 1, 2 HAVING count(*) FILTER (WHERE kind = 'stage') > 0"""
 
 
 @query("j3_replay", J3, ("state_log",))
@@ -724,12 +747,13 @@ def _(spark, d):
 
 @query("j4_next_start", "SELECT app, shuffle, max(start + splits) AS next_start FROM state_log WHERE kind = 'stage' GROUP BY 1, 2", ("state_log",))
 def _(spark, d):
-    return derived(spark, d, "state_log").where("kind = 'stage'").groupBy("app", "shuffle").agg(F.max(F.col("start") + F.col("splits")).alias("next_start"))
+    return statelog.next_start(derived(spark, d, "state_log"))
 
 
-@query("j5_config_mismatch", "SELECT app, count(DISTINCT splits) AS n_values FROM state_log GROUP BY 1 HAVING count(DISTINCT splits) > 1", ("state_log",))
+@query("j5_config_mismatch", """SELECT app, shuffle, count(DISTINCT num_partitions) AS partitions, count(DISTINCT splits) AS splits FROM state_log WHERE kind = 'stage'
+GROUP BY 1, 2 HAVING count(DISTINCT num_partitions) > 1 OR count(DISTINCT splits) > 1""", ("state_log",))
 def _(spark, d):
-    return keyed.conflicting(derived(spark, d, "state_log"), ["app"], "splits")
+    return statelog.config_mismatches(derived(spark, d, "state_log"))
 
 
 @query("j7_truncated_files", _after_with(["state_log"], """, b AS (SELECT app, min(seq) AS first FROM state_log WHERE seq % 101 = 50 GROUP BY 1)
@@ -738,9 +762,12 @@ def _(spark, d):
     return statelog.before_first_bad(derived(spark, d, "state_log").withColumn("bad", F.col("seq") % 101 == 50), "app", "seq", "bad").select("app", "seq", "kind")
 
 
-@query("j8_expired_apps", "SELECT channel, max(ts) AS last_seen, max(ts) < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 6 HOURS AS expired FROM app_events GROUP BY 1", ("app_events",))
+J8 = "SELECT user_id, max(ts) AS last_seen, max(ts) < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 6 HOURS AS expired FROM events GROUP BY 1"
+
+
+@query("j8_expired_apps", J8)
 def _(spark, d):
-    return statelog.expired(statelog.liveness([derived(spark, d, "app_events")], "channel", "ts"), "2024-01-30 20:00:00")
+    return statelog.expired(statelog.liveness([table(spark, d, "events")], "user_id", "ts"), "2024-01-30 20:00:00")
 
 
 @query("j9_liveness", "SELECT app, max(ts) AS last_seen FROM (SELECT app, ts FROM app_events WHERE event_type = 'view' UNION ALL SELECT app, ts FROM state_log WHERE kind = 'commit') GROUP BY 1", ("app_events", "state_log"))
@@ -748,7 +775,7 @@ def _(spark, d):
     return statelog.liveness([derived(spark, d, "app_events").where("event_type = 'view'"), derived(spark, d, "state_log").where("kind = 'commit'")], "app", "ts")
 
 
-@query("j10_byte_quota", "SELECT app, min(event_id) AS first_over, CAST(min(total) AS BIGINT) AS total FROM (SELECT app, event_id, sum(n_bytes) OVER (PARTITION BY app ORDER BY event_id) AS total FROM app_events) WHERE total > 20000 GROUP BY 1", ("app_events",))
+@query("j10_byte_quota", "SELECT app, min(event_id) AS first_over, CAST(arg_min(total, event_id) AS BIGINT) AS total FROM (SELECT app, event_id, sum(n_bytes) OVER (PARTITION BY app ORDER BY event_id) AS total FROM app_events) WHERE total > 20000 GROUP BY 1", ("app_events",))
 def _(spark, d):
     return statelog.over_quota(derived(spark, d, "app_events"), "app", "event_id", "n_bytes", 20000)
 
@@ -825,12 +852,34 @@ def _(spark, d):
     return streams.settled(streams.attempt_states(messages), "update", ["app", "attempt"])
 
 
-@query("m_readable_once", "SELECT p, count(DISTINCT attempt) AS n FROM (SELECT event_id % 10 AS p, user_id % 4 AS attempt FROM events WHERE event_type = 'signup') GROUP BY 1 HAVING count(DISTINCT attempt) = 4")
+@query("m_readable_once", "SELECT event_id % 10 AS p, CAST(4 AS BIGINT) AS n FROM events WHERE event_id % 10 <> 9 GROUP BY 1 HAVING count(DISTINCT user_id % 4) = 4")
+def _(spark, d):
+    """Partitions 0 to 8 wait for four attempts, 9 also for one that never commits."""
+    from tidegate.streaming import streams
+
+    wanted = spark.range(10).selectExpr("id AS p", "explode(CASE WHEN id = 9 THEN array(0, 1, 2, 3, 4) ELSE array(0, 1, 2, 3) END) AS attempt")
+    return streams.settled(streams.readable(_events(spark, d).selectExpr("event_id % 10 AS p", "user_id % 4 AS attempt"), wanted), "append")
+
+
+M_LIVE = """SELECT l.map_id, l.attempt, count(*) AS n FROM (SELECT l_suppkey % 17 AS map_id, CAST(l_linenumber % 3 AS BIGINT) AS attempt FROM lineitem) l
+JOIN (SELECT map_id, max(attempt) AS attempt FROM commits GROUP BY 1) w ON l.map_id = w.map_id AND l.attempt = w.attempt GROUP BY 1, 2"""
+
+
+@query("m_live_blocks", M_LIVE, ("commits",))
+def _(spark, d):
+    from tidegate.streaming import streams
+
+    blocks = streams.read(spark, d, "lineitem").selectExpr("l_suppkey % 17 AS map_id", "CAST(l_linenumber % 3 AS BIGINT) AS attempt")
+    won = commits.winners(derived(spark, d, "commits"))
+    return streams.settled(streams.live_blocks(blocks, won, ["map_id", "attempt"]), "append").groupBy("map_id", "attempt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m_expired_apps", J8)
 def _(spark, d):
     from tidegate.streaming import streams
 
-    rows = _events(spark, d).where("event_type = 'signup'").selectExpr("event_id % 10 AS p", "user_id % 4 AS attempt")
-    return streams.settled(streams.readable(rows, {p: [0, 1, 2, 3] for p in range(10)}), "append")
+    seen = streams.settled(streams.last_seen(_events(spark, d), "user_id", "ts"), "update", ["key"]).withColumnRenamed("key", "user_id")
+    return statelog.expired(seen, "2024-01-30 20:00:00")
 
 
 @query("m_rates", "SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1")
@@ -848,5 +897,5 @@ def _(spark, d):
     from tidegate.streaming import streams
 
     rows = _events(spark, d).selectExpr("ts", "user_id % 40 AS channel")
-    out = streams.settled(streams.sessions(rows, "channel", "ts", "2 hours", "30 days"), "complete")
+    out = streams.settled(streams.sessions(rows, "channel", "ts", "2 hours", None), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,18 @@ def store(df: DataFrame, path: str, mode: str = "overwrite", codec: str = "zstd"
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def registered(servers: DataFrame, dc: str, cluster: str, most: int, excluded: list[str]) -> DataFrame:
-    """The first ``most`` servers of a data centre and cluster, without those whose connection holds an excluded host."""
-    own = servers.where((F.col("dc") == dc) & (F.col("cluster") == cluster))
+def on_disk(df: DataFrame) -> DataFrame:
+    """Kept on the executors' disks from its first use on, until ``unpersist``; what is lost with one is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def registered(servers: DataFrame, dc: str, cluster: str | None, most: int, excluded: list[str]) -> DataFrame:
+    """The first ``most`` servers of a data centre and cluster (None: its first one), without the excluded hosts'."""
+    own = servers.where(F.col("dc") == dc)
+    if cluster is None:
+        own = own.join(F.broadcast(own.agg(F.min("cluster").alias("cluster"))), "cluster", "left_semi")
+    else:
+        own = own.where(F.col("cluster") == cluster)
     for host in excluded:
         own = own.where(~F.contains("connection", F.lit(host)))
     return own.orderBy("server_id").limit(most)
@@ -29,10 +39,14 @@ def looked_up(servers: DataFrame, ids: list[int]) -> DataFrame:
 
 
 #: The derived tables in SQL that Spark and DuckDB read alike. Window order names enough columns to be unique.
+#: Map task 9 never commits and task 5 not its attempt 2, so their partitions wait: 7 has blocks of task 9 alone, 0 to 3 of
+#: one of the two besides others, 4 to 6 of neither. Partitions so are not started, not available and readable at any size.
+P = """CASE WHEN l_suppkey % 17 = 9 THEN CASE WHEN l_linenumber % 2 = 0 THEN CAST(7 AS BIGINT) ELSE l_orderkey % 3 END
+  WHEN l_suppkey % 17 = 5 THEN l_orderkey % 4 ELSE l_orderkey % 7 END"""
 DERIVED = {
-    "blocks": """SELECT l_suppkey % 17 AS map_id, CAST(l_linenumber % 3 AS BIGINT) AS attempt, l_orderkey % 8 AS p,
+    "blocks": f"""SELECT l_suppkey % 17 AS map_id, CAST(l_linenumber % 3 AS BIGINT) AS attempt, {P} AS p,
   CASE WHEN l_linenumber = 7 THEN CAST(0 AS BIGINT) ELSE CAST(l_quantity AS BIGINT) * 8 END AS len, l_orderkey, l_linenumber, l_partkey,
-  CAST(row_number() OVER (PARTITION BY l_suppkey % 17, l_linenumber % 3, l_orderkey % 8
+  CAST(row_number() OVER (PARTITION BY l_suppkey % 17, l_linenumber % 3, {P}
     ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS BIGINT) AS seq
 FROM lineitem""",
     "commits": """SELECT o_custkey % 17 AS map_id, o_orderkey % 3 AS attempt, max(o_orderdate) AS ts FROM orders
@@ -42,11 +56,16 @@ WHERE NOT (o_custkey % 17 = 5 AND o_orderkey % 3 = 2) AND o_custkey % 17 <> 9 GR
   CASE WHEN s_suppkey % 10 = 3 THEN NULL ELSE CAST(floor(abs(s_acctbal)) AS BIGINT) % 3000 END AS latency, s_suppkey % 13 AS conns
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "app_events": """SELECT user_id % 11 AS app, user_id % 40 AS channel, event_id, ts, event_type, CAST(floor(value) AS BIGINT) AS n_bytes FROM events""",
+    # which apps have early commits (0, 4, ...), deletions (6, 13, 20), corruption (5, 11, 17), other numbers of partitions (4,
+    # 9, ...) or of splits (3, 8, ...) and no stage at all (22) follows from the app, so that all cases occur at any size
     "state_log": """SELECT event_id AS seq, ts, user_id % 23 AS app, event_id % 5 AS shuffle,
-  CASE WHEN event_type = 'view' THEN 'stage' WHEN event_type = 'error' AND event_id % 37 = 0 THEN 'corrupt'
-    WHEN event_type = 'click' AND event_id % 41 = 0 THEN 'delete' ELSE 'commit' END AS kind,
-  CASE WHEN event_id % 197 = 0 THEN CAST(9 AS BIGINT) ELSE CAST(8 AS BIGINT) END AS num_partitions, event_id % 4 AS start, 1 + event_id % 2 AS splits, event_id % 20 AS attempt
-FROM events""",
+  CASE WHEN event_id = opening AND user_id % 23 % 4 <> 0 AND user_id % 23 <> 22 THEN 'stage'
+    WHEN event_type = 'view' AND user_id % 23 <> 22 THEN 'stage'
+    WHEN event_type = 'error' AND user_id % 23 % 6 = 5 AND event_id % 4 = 0 THEN 'corrupt'
+    WHEN event_type = 'click' AND user_id % 23 % 7 = 6 AND event_id % 3 = 0 THEN 'delete' ELSE 'commit' END AS kind,
+  CASE WHEN user_id % 23 % 5 = 4 AND event_id % 5 = 2 AND event_id % 3 = 0 THEN CAST(9 AS BIGINT) ELSE CAST(8 AS BIGINT) END AS num_partitions,
+  event_id % 4 AS start, CASE WHEN user_id % 23 % 5 = 3 AND event_id % 5 = 1 THEN 1 + event_id % 2 ELSE 1 + event_id % 5 % 2 END AS splits, event_id % 20 AS attempt
+FROM events JOIN (SELECT user_id % 23 AS a, event_id % 5 AS s, min(event_id) AS opening FROM events GROUP BY 1, 2) f ON user_id % 23 = a AND event_id % 5 = s""",
 }
 NEEDS = {"blocks": ["lineitem"], "commits": ["orders"], "servers": ["supplier", "nation", "region"], "app_events": ["events"], "state_log": ["events"]}
 

@@ -2,7 +2,8 @@
 
 Each function takes a streaming DataFrame and returns one. State is kept by key in Spark's state store and is a few numbers
 a key, or the attempts that a partition still waits for. ``settled`` runs a stream over all that is there now and gives its
-rows as a table; its checkpoint and rows go to the shared folder.
+rows as a table; its checkpoint and rows go to the shared folder. Where there are many keys, set
+``spark.sql.streaming.stateStore.providerClass`` to Spark's RocksDB provider, which keeps state on disk.
 """
 
 from __future__ import annotations
@@ -27,26 +28,35 @@ def read(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1)
 
 
 def _folder(spark: SparkSession) -> str:
+    """In the folder that all executors share; only a local session gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidegate-stream-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def settled(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The rows that the stream has given when all input is taken; with ``keys``, the last row of each."""
+    """The rows that the stream has given when all input is taken: with ``keys`` the last row of each, in complete mode those
+    of the last batch, else all."""
     spark, to = stream.sparkSession, _folder(stream.sparkSession)
+    last = [-1]
 
     def store(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{to}/rows/batch={number}")
+        last[0] = max(last[0], number)
 
     run = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{to}/checkpoint").foreachBatch(store).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{to}/rows/*")
+    if last[0] < 0:
+        return spark.createDataFrame([], stream.schema)
+    which = f"batch={last[0]}" if mode == "complete" else "*"
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{to}/rows/{which}")
     if not keys:
         return rows.drop("_batch")
     others = [c for c in stream.columns if c not in keys]
@@ -67,20 +77,37 @@ def attempt_states(messages: DataFrame, app: str = "app", attempt: str = "attemp
     return own.groupBy("app", "attempt").applyInPandasWithState(step, "app long, attempt long, state string, restarted boolean", "furthest int, starts int", "update", GroupStateTimeout.NoTimeout)
 
 
-def readable(commits: DataFrame, wanted: dict[int, list[int]]) -> DataFrame:
-    """p and n of each partition once, when all attempts that it waits for have committed. commits: p, attempt."""
+def readable(commits: DataFrame, wanted: DataFrame) -> DataFrame:
+    """p and n of each partition once, when all attempts that it waits for have committed. commits: p, attempt.
+
+    wanted: p, attempt; a table, joined in. State is a partition's list of those that it still waits for.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        want = wanted.get(int(key[0]), [])
-        left = set(state.get[0]) if state.exists else set(want)
-        open_before = not state.exists or bool(left)
+        left, n = (set(state.get[0]), state.get[1]) if state.exists else (None, 0)
+        open_before = left is None or bool(left)
         for f in frames:
+            if left is None:
+                left = {int(x) for x in f["want"].iloc[0]}
+                n = len(left)
             left -= set(f["attempt"].tolist())
-        state.update((sorted(left),))
-        if open_before and not left and want:
-            yield pd.DataFrame([(key[0], len(want))], columns=["p", "n"])
+        state.update((sorted(left), n))
+        if open_before and not left:
+            yield pd.DataFrame([(key[0], n)], columns=["p", "n"])
+
+    own = wanted.groupBy("p").agg(F.collect_set(F.col("attempt").cast("long")).alias("want"))
+    both = commits.select(F.col("p").cast("long").alias("p"), F.col("attempt").cast("long").alias("attempt")).join(own, "p")
+    return both.groupBy("p").applyInPandasWithState(step, "p long, n long", "missing array<long>, n int", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_blocks(blocks: DataFrame, won: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks of the attempts that have won, a table; what stale ones send, however late, is passed over by its id."""
+    return blocks.join(won.select(*keys).distinct(), list(keys), "left_semi")
 
-    return commits.select("p", "attempt").groupBy("p").applyInPandasWithState(step, "p long, n long", "missing array<long>", "append", GroupStateTimeout.NoTimeout)
+
+def last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """When each key was last heard of, in update mode. Any order of events gives the same."""
+    return events.groupBy(F.col(key).alias("key")).agg(F.max(ts).alias("last_seen"))
 
 
 def expiring(events: DataFrame, key: str, ts: str, delay: str, hours: int) -> DataFrame:
@@ -111,8 +138,12 @@ def rates(events: DataFrame, ts: str, value: str, width: str = "1 hour", delay:
     return out.select(F.col("window.start").alias("start"), "total", "n")
 
 
-def sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    """Spans of a channel without a pause of ``gap``; where one ends, the channel was idle."""
-    own = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+def sessions(events: DataFrame, key: str, ts: str, gap: str, delay: str | None = "10 minutes") -> DataFrame:
+    """Spans of a channel without a pause of ``gap``; where one ends, the channel was idle.
+
+    Rows later than ``delay`` are dropped; with None none is, and all sessions are kept as state (in complete mode).
+    """
+    own = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    own = own.withWatermark("_ts", delay) if delay is not None else own
     out = own.groupBy(key, F.session_window("_ts", gap)).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
