@@ -1,10 +1,12 @@
 """WARC archives, compressed with Zstandard: a dictionary in the leading skippable frame, then a frame a record.
 
 ``write_archives`` writes pages as response records; a page whose payload equals that of another becomes a revisit record
-that refers to the one of the largest page_id. ``read_archives`` gives the records back and checks each: one record a
-frame, a version line, the headers that its type needs, block and payload lengths, and the digest of each payload.
+that refers to the one of the largest page_id. ``read_archives`` gives the records back, those of archives written elsewhere
+too, and checks each: one record a frame, a version line, the headers that its type needs, block and payload lengths, and
+the digest of each payload that has one.
 
-A null html is an empty payload. Rows that share the largest page_id of their payload are all responses; a null page_id is
+A null html is an empty payload. An empty table gives no archive. A file is closed at FILE_BYTES, so that it has no more than
+these and one record, which must stay below the 2 GB that Spark reads as one value. Other columns are not read. Rows that share the largest page_id of their payload are all responses; a null page_id is
 never the largest, and where there is no other, all are responses. A null or odd URL is percent-encoded. The dictionary is
 trained on at most ``sample`` pages (DICT_SAMPLE, of DICT_CHARS characters each); where that fails, there is none.
 """
@@ -29,10 +31,14 @@ from . import files
 from .common import shared_dir, small_batches, table, written
 
 SKIPPABLE = 0x184D2A5D
+#: Any of 16 magic numbers begins a skippable frame; this is the first.
+SKIPPABLES = 0x184D2A50
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 DICT_SAMPLE, DICT_CHARS, DICT_BYTES = 400, 8192, 64 << 10
 FILE_BYTES = 16 << 20
 WINDOW = 64 << 10
+#: Digests of repeated payloads that are sent to the pages at most (28 bytes each); beyond, pages are shuffled to them.
+MAX_DIGESTS = 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
@@ -95,7 +101,7 @@ def parse(data: bytes) -> Record:
 
 
 def frames(data: bytes) -> Iterator[bytes]:
-    """The content of each frame of an archive, with the dictionary of its leading skippable frame."""
+    """The content of each frame of an archive, with the dictionary of its leading skippable frame; others are skipped."""
     at, own = 0, None
     if len(data) >= 8 and int.from_bytes(data[:4], "little") == SKIPPABLE:
         n = int.from_bytes(data[4:8], "little")
@@ -107,6 +113,11 @@ def frames(data: bytes) -> Iterator[bytes]:
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(own) if own else None)
     view = memoryview(data)
     while at < len(data):
+        if SKIPPABLES <= int.from_bytes(view[at : at + 4], "little") < SKIPPABLES + 16:
+            at += 8 + int.from_bytes(view[at + 4 : at + 8], "little")
+            if at > len(data):
+                raise ValueError("a skippable frame is cut off")
+            continue
         frame, out = reader.decompressobj(), []
         while not frame.eof:
             if at >= len(data):
@@ -135,9 +146,14 @@ def train(pages: DataFrame, html_col: str, sample: int = DICT_SAMPLE) -> bytes:
 
 
 def with_refers_to(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and refers_to: null for responses. Only digests and ids are grouped and looked up."""
-    rows = pages.withColumn("own", F.sha1(F.coalesce("html", F.lit(""))))
+    """page_id, url, html and refers_to: null for responses.
+
+    Digests and ids are grouped. The pages stay where they are while the digests that are repeated are few enough.
+    """
+    rows = pages.withColumn("own", F.unhex(F.sha1(F.coalesce("html", F.lit("")))))
     again = rows.groupBy("own").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = written(again, "payloads-again")
+    again = F.broadcast(again) if again.count() <= MAX_DIGESTS else again
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(again, "own", "left").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -178,26 +194,55 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return written(with_refers_to(narrow).mapInArrow(run, "file string, n_records long"), "warc-manifest")
 
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, record_id string"
+ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORDS.split(", "))])
 
 
 def _page(urn: str | None) -> int | None:
+    """The page of a record id as written here; null for others."""
     own = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if not own or own == "none" else int(own)
+    return int(own) if own.removeprefix("-").isdecimal() and urn == f"<urn:page:{own}>" else None
+
+
+def row_of(x: Record) -> tuple:
+    """The row of a record; ValueError if its payload isn't what its headers say.
+
+    The payload of a response is what follows its HTTP headers, of a revisit none, else the block. A length that isn't
+    stated is that of the payload, and null for revisits; of a transfer in chunks it isn't compared.
+    """
+    head, payload = x.http() if x.kind in ("response", "revisit") and (x.block.startswith(b"HTTP/") or x.kind == "response") else ({}, x.block)
+    own, named = x.headers.get("warc-payload-digest"), x.headers["warc-record-id"]
+    size = int(head["content-length"]) if head.get("content-length", "").isdecimal() and "transfer-encoding" not in head else None
+    if x.kind == "revisit":
+        if payload:
+            raise ValueError(f"the revisit {named} has a payload")
+    else:
+        if size not in (None, len(payload)) or (own and own.lower().startswith("sha1:") and len(own) == 37 and digest(payload) != own[5:].upper()):
+            raise ValueError(f"the payload of {named} isn't what its headers say")
+        size = len(payload)
+    bare = own.partition(":")[2] if own and ":" in own else own
+    return _page(named), x.headers.get("warc-target-uri"), x.kind, _page(x.headers.get("warc-refers-to")), bare, size, None if x.kind == "revisit" else payload, named
+
+
+def archives(spark: SparkSession, folder: str) -> DataFrame:
+    """A manifest of the archives of a folder, written elsewhere: file, n_records (null: not known)."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return found.select(F.concat(F.lit(folder.rstrip("/") + "/"), F.element_at(F.split("path", "/"), -1)).alias("file"), F.lit(None).cast("long").alias("n_records"))
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of a manifest's files. ``payload`` is null for revisits; its digest and length are of the full payload.
 
-    The files may be in several folders; a listed one that isn't there is an error.
+    The files may be in several folders; a listed one that isn't there is an error, as is another number of records than
+    the manifest states. Record ids that aren't pages' as written here give a null page_id, and are in record_id.
     """
     spark = manifest.sparkSession
     folder, name = F.regexp_replace("file", "/[^/]*$", "").alias("folder"), lambda c: F.element_at(F.split(c, "/"), -1).alias("name")
     folders = sorted(r.folder for r in manifest.select(folder).distinct().collect())
     if not folders:
         return spark.createDataFrame([], RECORDS)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst")
-    found = reduce(DataFrame.union, [archives.load(x).select(F.lit(x).alias("folder"), name("path"), "content") for x in folders])
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst")
+    found = reduce(DataFrame.union, [source.load(x).select(F.lit(x).alias("folder"), name("path"), "content") for x in folders])
     listed = manifest.select(folder, name("file"), "n_records")
     gone = listed.join(found.select("folder", "name"), ["folder", "name"], "left_anti").limit(3).collect()
     if gone:
@@ -205,28 +250,23 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     content = found.join(listed, ["folder", "name"]).select("name", "n_records", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in RECORDS.split(", "))])
+        batch_of = lambda rows: pa.RecordBatch.from_pylist([dict(zip(ARROW.names, r, strict=True)) for r in rows], ARROW)
         for batch in batches:
             for i in range(batch.num_rows):
                 name, expected, data = (batch.column(k)[i].as_py() for k in range(3))
                 out, n, held = [], 0, 0
                 for frame in frames(data):
-                    x = parse(frame)
-                    head, payload = x.http()
-                    own = x.headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    size = int(head["content-length"])
-                    if x.kind == "response" and (len(payload) != size or digest(payload) != own):
-                        raise ValueError(f"{name}: the payload of {x.headers['warc-record-id']} isn't what its headers say")
-                    if x.kind not in ("response", "revisit") or (x.kind == "revisit" and (payload or "warc-refers-to" not in x.headers)):
-                        raise ValueError(f"{name}: {x.headers['warc-record-id']} is no response or revisit as written here")
-                    out.append((_page(x.headers["warc-record-id"]), x.headers.get("warc-target-uri"), x.kind, _page(x.headers.get("warc-refers-to")), own, size, payload if x.kind == "response" else None))
-                    n, held = n + 1, held + size
+                    try:
+                        out.append(row_of(parse(frame)))
+                    except ValueError as e:
+                        raise ValueError(f"{name}, record {n}: {e}") from e
+                    n, held = n + 1, held + len(frame)
                     if held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                        yield batch_of(out)
                         out, held = [], 0
-                if n != expected:
+                if expected not in (None, n):
                     raise ValueError(f"{name} has {n} records, not {expected}")
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                yield batch_of(out)
 
     return content.mapInArrow(run, RECORDS)
 
