@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 NONSPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -126,3 +129,32 @@ def judge(url):
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
             best = h + p, verdict
     return host, path, best and best[0], best[1] if best else "allow"
+
+
+def toxic_features(t):
+    w = ALNUM.findall(low(t))
+    return {*w, *zip(w, w[1:], strict=False), *((a, None, b) for a, b in zip(w, w[2:], strict=False))}
+
+
+def ftrl(rows, features=toxic_features, epochs=8, alpha=4.0, beta=1.0, l1=8.0):
+    """A scorer learnt from (text, label) rows by FTRL-proximal, a coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f is None:
+            return -z[f] / ((beta + n[f] ** 0.5) / alpha)
+        return 0.0 if abs(z[f]) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + n[f] ** 0.5) / alpha)
+
+    def score(fs):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(weight(f) for f in fs if f in z) + weight(None)))))
+
+    own, order = [(features(t), y) for t, y in rows], np.random.default_rng(7)
+    for _ in range(epochs):
+        for i in order.permutation(len(own)):
+            fs, y = own[i]
+            g = score(fs) - y
+            for f in [*fs, None]:
+                step = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha
+                z[f] += g - step * weight(f)
+                n[f] += g * g
+    return lambda t: score(features(t))

@@ -103,11 +103,33 @@ def test_op1_decontamination(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, x in want.items() if not x[-1]]
 
 
-def test_op1_without_a_set_of_short_items(spark, docs, monkeypatch):
+def test_op1_joined_prints(spark, docs, monkeypatch):
+    """Beyond the bounds on what is broadcast, the same rows."""
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = sorted(tuple(r)[:3] for r in decontaminate.contamination(docs, items).collect())
-    monkeypatch.setattr(decontaminate, "SHORT_KEYS", 0)
-    assert sorted(tuple(r)[:3] for r in decontaminate.contamination(docs, items).collect()) == want
+    want = sorted(map(str, decontaminate.contamination(docs, items).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.decontaminated(docs, items).collect())
+    for most in (1000, 0):
+        monkeypatch.setattr(decontaminate, "MAX_PRINTS", 0)
+        monkeypatch.setattr(decontaminate, "MAX_IDS", most)
+        monkeypatch.setattr(common, "MAX_IDS", most)
+        assert sorted(map(str, decontaminate.contamination(docs, items).collect())) == want
+        assert sorted(r.doc_id for r in decontaminate.decontaminated(docs, items).collect()) == kept
+
+
+def test_op1_repeated_words_and_rows(spark):
+    """A document of one word 20,000 times, items of that word, repeated ids of other texts, null ids, repeated rows."""
+    items = [(k, "same " * (20 + k)) for k in range(5)] + [(9, prose(30, 50)), (10, "ab cd " * 30)]
+    docs = [(1, "same " * 20000), (2, "ab cd " * 5000 + prose(9, 51)), (3, prose(40, 52)), (3, items[5][1]), (None, items[5][1]), (None, "x"), (4, None)]
+    df = spark.createDataFrame([(i, t, "r") for i, t in docs + docs[3:5]], "doc_id long, text string, size string")
+    own = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(df, own).collect())
+    plain = {t: x for (_, t), x in zip(docs, brute.contamination([(k, t) for k, (_, t) in enumerate(docs)], items), strict=True)}
+    items_of = {docs[0][1]: [0, 1, 2, 3, 4], docs[1][1]: [10], docs[3][1]: [9]}
+    assert got == sorted((str(i), *plain[t][1:3], items_of.get(t, [])) for i, t in docs + docs[3:5])
+    kept = decontaminate.decontaminated(df, own)
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [docs[2], docs[5], docs[6]]))
+    assert decontaminate.decontaminated(df, own.limit(0)).count() == 9 and decontaminate.decontaminated(df.limit(0), own).count() == 0
 
 
 def test_winnowing_guarantee():
@@ -149,6 +171,42 @@ def test_op2_null_id_among_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {None, 4, 5}
 
 
+def test_op2_repeated_ids_of_other_texts(spark, monkeypatch):
+    """Rows are judged by their own texts: none that is a copy of nothing kept is lost, and of copies one stays."""
+    a, b, c = (prose(200, k) for k in (70, 71, 72))
+    near = b.replace(b.split()[50], "changed", 1)
+    rows = [(3, b, "x"), (5, a, "y"), (5, b, "z"), (5, a, "y2"), (5, near, "n"), (None, c, None), (None, c.replace("the", "THE"), "q"), (7, c, "w"), (8, "", "e"), (8, None, "f"), (8, "", "g"), (None, None, "h"), (9, "\t", "i")]
+    df = spark.createDataFrame([(i, t, k, "t") for i, t, k in rows], "doc_id long, text string, id string, t string").repartition(3)
+    want = [(3, b), (5, a), (8, ""), (8, None), (8, ""), (None, None), (9, "\t")]
+    for most, hot in ((10, 1000), (0, 1000), (10, 0)):
+        monkeypatch.setattr(neardup, "MAX_IDS", most)
+        monkeypatch.setattr(neardup, "HOT_ROWS", hot)
+        out = neardup.deduplicated(df)
+        assert out.columns == df.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert sorted((str(x) for x in got if not x[1] or x[0] is not None)) == sorted(map(str, want))
+        assert [t.lower() for i, t in got if i is None and t] == [c.lower()]
+        found = [(r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in neardup.near_duplicates(df).collect()]
+        n = len(brute.shingles(b))
+        assert sorted(x for x in found if x[0] == 3) == [(3, n, 3, 3)] and sorted(x for x in found if x[0] == 5 and x[3] == 3)[-1][:3] in ((5, n, 3), (5, len(brute.shingles(near)), 5))
+        assert (7, len(brute.shingles(c)), None, None) in found and found.count((8, 0, 8, 8)) == 3
+
+
+def test_op2_prefix_filter_by_brute_force(spark):
+    """Families that share half of their words, in one bucket or not: links between members beside the hub are all found."""
+    r, rows = random.Random(12), []
+    for family in range(6):
+        common = [f"f{family}w{k}" for k in range(150)]
+        for k in range(12):
+            own = common + [f"u{family}-{k}-{j}" for j in range(r.choice([10, 60, 150]))]
+            rows.append((family * 100 + k, " ".join(own)))
+            if k % 3 == 0:
+                own[r.randrange(len(own))] = "changed"
+                rows.append((family * 100 + 50 + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()} == brute.near_duplicates(rows)
+
+
 def test_odd_sketch_limits():
     """Pairs at the threshold and above pass; most of those far below don't."""
     r, limit, far = np.random.default_rng(0), neardup.sketch_limit(), 0
@@ -220,7 +278,28 @@ def test_op3_fixed_capacity(spark, docs):
     sums = {}
     for r in rows:
         sums[r.shard] = sums.get(r.shard, 0) + r["size"]
-    assert max(sums.values()) <= 300_000
+    assert max(sums.values()) <= 300_000 and set(sums) == set(range(len(sums)))
+    # a group beyond the capacity, rows beyond it, and many small groups that stay whole
+    texts = ["same " * 20] * 400 + ["z" * 9000] * 2 + [f"text {k // 2} " * 3 for k in range(3000)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    rows, sums, shards = packing.pack(packing.sized(df), shards=None, capacity=5000).collect(), {}, {}
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        sums.setdefault(r.shard, []).append((r.slot, r["size"]))
+        shards.setdefault(texts[r.doc_id] or "", set()).add(r.shard)
+    for own in sums.values():
+        assert sorted(s for s, _ in own) == list(range(len(own)))
+        assert sum(x for _, x in own) <= 5000 or len(own) == 1
+    assert all(len(v) == 1 for t, v in shards.items() if len(t) * texts.count(t) < 4000)
+    total = sum(x for own in sums.values() for _, x in own)
+    assert len(sums) <= 1.25 * total / 5000 + 8
+
+
+def test_op3_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a"), (None, "a"), (4, None), (4, None), (4, "b")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int")
+    out = packing.pack(packing.sized(df), shards=2).collect()
+    assert sorted(str((r.doc_id, r["size"])) for r in out) == sorted(str((i, len(t or "") + 8)) for i, t in rows)
 
 
 def test_op4_warc(spark):
@@ -248,6 +327,37 @@ def test_op4_reads_all_folders_and_misses_no_file(spark, tmp_path):
         warc.read_archives(both).collect()
 
 
+def test_op4_archives_from_elsewhere(spark, tmp_path):
+    """Other kinds of records, ids and lengths that aren't stated, skippable frames in between."""
+    import zstandard
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hello</p>"
+
+    def rec(kind, block, more=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:1-" + kind + b">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    records = [rec(b"warcinfo", b"software: x\r\n"), rec(b"request", b"GET / HTTP/1.1\r\n\r\n"), rec(b"response", http, b"WARC-Target-URI: http://a/\r\n"), rec(b"revisit", b"", b"WARC-Payload-Digest: sha1:ABC\r\n"), rec(b"metadata", b"a: b")]
+    pack = zstandard.ZstdCompressor()
+    skip = (0x184D2A53).to_bytes(4, "little") + (3).to_bytes(4, "little") + b"abc"
+    (tmp_path / "x.warc.zst").write_bytes(skip.join(pack.compress(x) for x in records) + skip)
+    rows = {r.record_type: r for r in warc.read_archives(warc.archives(spark, f"file://{tmp_path}")).collect()}
+    assert set(rows) == {"warcinfo", "request", "response", "revisit", "metadata"}
+    assert (rows["response"].payload_bytes, bytes(rows["response"].payload), rows["response"].url) == (12, b"<p>hello</p>", "http://a/")
+    assert (rows["revisit"].payload_bytes, rows["revisit"].payload, rows["revisit"].payload_digest) == (None, None, "ABC")
+    assert all(r.page_id is None and r.record_id == f"<urn:uuid:1-{k}>" for k, r in rows.items())
+    (tmp_path / "y.warc.zst").write_bytes(pack.compress(records[0]) + skip[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_archives(warc.archives(spark, f"file://{tmp_path}")).collect()
+
+
+def test_op4_repeated_payloads_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_DIGESTS", 0)
+    pages = [(k, "u", f"page {k % 5}") for k in range(40)] + [(40, "u", None), (41, "u", "")]
+    df = spark.createDataFrame([(*p, "c", "d") for p in pages], "page_id long, url string, html string, own string, first string").repartition(3)
+    got = {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.read_archives(warc.write_archives(df)).collect()}
+    assert got == brute.revisits([(i, h) for i, _, h in pages])
+
+
 def test_op4_rejects_what_is_wrong():
     good = warc.record(1, "http://a/", b"payload", None)
     assert warc.parse(good).http()[1] == b"payload"
@@ -278,6 +388,30 @@ def test_op5_url_filter(spark):
         assert got == {i: brute.judge(u) for i, u in enumerate(URLS + URLS)}
 
 
+def test_op5_rules_of_a_table_and_clashes(spark, monkeypatch):
+    """Rules with nulls, of parts of segments and of equal ways, as a trie and joined; other columns of any name stay."""
+    r = random.Random(14)
+    make = lambda: (".".join(r.choice("ab") for _ in range(r.randint(1, 3))), "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 4))))
+    rules = [(r.choice(["allow", "block"]), *make()) for _ in range(40)] + [("block", None, "/b"), ("allow", "a", None)]
+    asked = [make() for _ in range(150)]
+    pages = spark.createDataFrame([(k, f"x://{h}{p}", "s") for k, (h, p) in enumerate(asked)] + [(-1, None, None)], "page_id long, url string, suffix string")
+    own = spark.createDataFrame(rules, "verdict string, host string, path string")
+    trie = urls.Trie([urls.Rule(v, h or "", p or "") for v, h, p in rules])
+    want = {k: (x and x.text, x.verdict if x else "other") for k, x in ((k, trie.find(h, p)) for k, (h, p) in enumerate(asked))}
+    for most in (1000, 0):
+        out = urls.judge(urls.with_parts(pages), own, "other", most)
+        assert out.columns == ["page_id", "url", "suffix", "host", "path", "rule", "verdict"]
+        got = {x.page_id: (x.rule, x.verdict) for x in out.collect()}
+        assert {k: v for k, v in got.items() if k >= 0} == want and got[-1] == (None, "other")
+    assert urls.judge(urls.with_parts(pages), own.limit(0), "other", 0).where("rule IS NOT NULL").count() == 0
+    for name in ("host", "path"):
+        with pytest.raises(ValueError):
+            urls.with_parts(pages.withColumn(name, F.lit("x")))
+    for name in ("rule", "verdict"):
+        with pytest.raises(ValueError):
+            urls.judge(urls.with_parts(pages).withColumn(name, F.lit("x")), own)
+
+
 def test_op5_trie_by_brute_force():
     r = random.Random(8)
     make = lambda: (".".join(r.choice("ab") for _ in range(r.randint(1, 3))), "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 4))))
@@ -311,19 +445,64 @@ def test_op6_toxicity(spark):
 
 
 def test_op7_quality_rules(spark, docs):
-    rows = quality.cascade(quality.metrics(docs), quality.RULES).collect()
+    rows = quality.cascade(docs, quality.RULES, columns=tuple(quality.METRICS)).collect()
     for r in rows:
         want = brute.quality(dict(DOCS)[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[:5], r.doc_id
         assert r.kept == (r.failed_rule is None) and not (want[5] and r.kept)
     assert {"key", "id", "score"} <= set(rows[0].asDict())
-    plan = quality.metrics(common.table(spark, "/root/testdata/sf0.001", "documents"))._jdf.queryExecution().executedPlan().toString()
+    plan = quality.cascade(common.table(spark, "/root/testdata/sf0.001", "documents"), quality.RULES)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Window"))
-    order = quality.estimate(docs, quality.RULES)
-    assert {e.rule for e in order} == set(quality.RULES)
-    assert [e.worth for e in order] == sorted((e.worth for e in order), reverse=True)
-    other = quality.cascade(quality.metrics(docs), [e.rule for e in order][::-1])
+    other = quality.cascade(docs, quality.RULES[::-1])
     assert {r.doc_id: r.kept for r in other.collect()} == {r.doc_id: r.kept for r in rows}
+    for name in ("failed_rule", "kept"):
+        with pytest.raises(ValueError):
+            quality.cascade(docs.withColumn(name, F.lit(1)), quality.RULES)
+    with pytest.raises(ValueError):
+        quality.metrics(docs.withColumn("n_words", F.lit(1)))
+
+
+def test_op7_order_is_by_worth_and_stays(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    orders = [quality.estimate(docs, quality.RULES) for _ in range(2)]
+    for order in orders:
+        assert {e.rule for e in order} == set(quality.RULES)
+        assert [e.worth for e in order] == sorted((e.worth for e in order), reverse=True)
+    assert {e.rule.name: e.rejected for e in orders[0]} == {e.rule.name: e.rejected for e in orders[1]}
+    assert orders[0][0].rule == orders[1][0].rule
+
+
+def test_op7_later_rules_are_not_evaluated(spark):
+    """A rule that would raise is asked only of rows that the rules before it let pass."""
+    rows = spark.createDataFrame([(k, "too short") for k in range(50)], "doc_id long, text string").repartition(2)
+    boom = quality.Rule("boom", "CAST(raise_error('asked') AS BOOLEAN)")
+    few, lines = quality.RULES[0], quality.RULES[3]
+    assert {r.failed_rule for r in quality.cascade(rows, [lines, few, boom]).collect()} == {"few_words"}
+    with pytest.raises(Exception, match="asked"):
+        quality.cascade(rows, [lines, boom, few]).collect()
+
+
+def test_op7_rules_catch_what_they_are_for(spark):
+    words = [f"word{k}x" for k in range(120)]
+    texts = {
+        None: " ".join(words),
+        "symbols": " ".join(w + "***" for w in words),
+        "tables": " | ".join(words),
+        "shouting": " ".join(words).upper(),
+        "cut_lines": "\n".join(f"{w} {k} and so on..." for k, w in enumerate(words)),
+        "bullets": "\n".join(f"- {w} number {k}" for k, w in enumerate(words)),
+        "few_distinct_words": " ".join(f"w{k * k % 23 + k % 5}" for k in range(400)),
+        "long_words": " ".join([*words, "y" * 1200]),
+        "few_words": "",
+    }
+    rows = spark.createDataFrame(list(texts.items()), "name string, text string")
+    one_by_one = {}
+    for rule in quality.RULES:
+        for r in quality.cascade(rows, [rule]).collect():
+            if not r.kept:
+                one_by_one.setdefault(r.name, set()).add(rule.name)
+    assert None not in one_by_one
+    assert all(name in one_by_one[name] for name in texts if name)
 
 
 def test_op8_token_ids(spark, docs):
@@ -408,6 +587,6 @@ def test_empty_tables(spark, empty):
     labels = empty.select("doc_id", F.lit(1).alias("toxic"))
     model = toxicity.train(empty, labels)
     out = [decontaminate.contamination(empty, items), neardup.near_duplicates(empty), packing.pack(packing.sized(empty)), warc.read_archives(warc.write_archives(empty))]
-    out += [urls.judge(urls.with_parts(empty.select("url")), urls.RULES), toxicity.scored(empty, model), quality.cascade(quality.metrics(empty), [e.rule for e in quality.estimate(empty, quality.RULES)])]
+    out += [urls.judge(urls.with_parts(empty.select("url")), urls.RULES), toxicity.scored(empty, model), quality.cascade(empty, [e.rule for e in quality.estimate(empty, quality.RULES)])]
     out += [tokens.read_ids(tokens.write_ids(empty)), bpe.digests(empty), lines.dedup_lines(empty)]
     assert [x.count() for x in out] == [0] * 10

@@ -263,8 +263,8 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 LEAST = -(1 << 63)
-#: Ids that are sent to where the texts are (24 bytes each); beyond, texts are shuffled to them.
-MAX_IDS = 2_000_000
+#: Ids that are sent to where the texts are (some 100 bytes each as a hash table); beyond, texts are shuffled to them.
+MAX_IDS = 1_000_000
 
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column, Column]:
