@@ -77,12 +77,13 @@ def combine_to_set(df: DataFrame, keys: Sequence[str], value: str, out: str = "v
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(out))
 
 
-def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge_value: Callable, merge: Callable, schema: str, table_size: int = 100_000) -> DataFrame:
+def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge_value: Callable, merge: Callable, schema: str, table_size: int = 100_000, rows_at_once: int = 200_000) -> DataFrame:
     """An aggregate of three functions: of a pandas frame of a key's rows, of a state and more rows, of two states.
 
     create(frame) -> state (a dict), merge_value(state, frame) -> state, merge(state, state) -> state; states have the
     columns of ``schema`` besides the keys. Each map task keeps a table of states and writes it out whole when it has
-    ``table_size`` keys, so only states are shuffled, a few for each key and task however hot the key is.
+    ``table_size`` keys, so only states are shuffled, a few for each key and task however hot the key is. Rows are grouped
+    ``rows_at_once`` at a time, so that the functions are called for a key's rows together.
     """
     keys = list(keys)
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -93,7 +94,7 @@ def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         states: dict = {}
-        for f in frames:
+        for f in _joined(frames, rows_at_once):
             for k, own in f.groupby(keys, dropna=False):
                 states[k] = merge_value(states[k], own) if k in states else create(own)
             if len(states) >= table_size:
@@ -112,6 +113,17 @@ def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge
     return df.mapInPandas(first, out).groupBy(*keys).applyInPandas(last, out)
 
 
+def _joined(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for f in frames:
+        held.append(f)
+        if sum(map(len, held)) >= size:
+            yield pd.concat(held)
+            held = []
+    if held:
+        yield pd.concat(held)
+
+
 def two_level(df: DataFrame, keys: Sequence[str], part: str, value: str) -> DataFrame:
     """Combined within each ``part`` (a map task, or a salt for a hot key), then over all: s and n."""
     inner = df.groupBy(*keys, part).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
