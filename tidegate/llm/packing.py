@@ -9,8 +9,12 @@ packs into so many, which makes their sizes near equal.
 Groups larger than a block (no more than BLOCKS * shards can be) are dealt out in pieces; these stay in one shard unless
 the group is larger than a fair shard, which nothing indivisible can even out. Then its pieces are packed on their own.
 
-Sizes are UTF-8 bytes and ``overhead``; a null text has none, and the checksum of an empty one. Null ids and repeated rows
-are rows like others. An empty table gives no rows.
+With a fixed capacity, shards are as many as it takes: tasks pack whole groups into shards, and the driver sees one row a
+task, its emptiest shard, and packs those together. Groups beyond the capacity are dealt out and packed by their rows.
+
+Sizes are UTF-8 bytes and ``overhead``; a null text has none, and the checksum of an empty one. Long texts are rows like
+others, of any size; one beyond a fixed capacity has a shard of its own. Null ids and repeated rows are rows like others.
+An empty table gives no rows. Other columns are not read. A task holds about ROWS_A_TASK rows of three numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from .common import table, written
 
 BLOCKS = 64
 OVERHEAD = 8
+ROWS_A_TASK = 1_000_000
 
 
 class _Tree:
@@ -160,15 +165,17 @@ def pack(rows: DataFrame, shards: int | None = 24, capacity: int | None = None,
     Either into ``shards`` shards of near equal sizes, or into as few as fit of ``capacity``.
     """
     spark = rows.sparkSession
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    fair = capacity or max(1, -(-total // shards))
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // ROWS_A_TASK))
+    if capacity:
+        return _pack_fixed(rows, capacity, parts)
+    fair = max(1, -(-total // shards))
     unit = max(1, fair // blocks)
     sums = rows.groupBy("group").agg(F.sum("size").alias("group_size")).where(F.col("group_size") > unit)
     # fewer than total / unit: at most blocks * shards rows and a few, whatever the input
     big = F.broadcast(sums.withColumn("pieces", F.ceil(F.col("group_size") / unit).cast("int")))
     piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("row"), F.col("pieces")))
     dealt = rows.join(big, "group", "left").withColumn("piece", piece).select("row", "group", "size", "piece", "group_size")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches), SCHEMA)
@@ -200,7 +207,7 @@ def pack(rows: DataFrame, shards: int | None = 24, capacity: int | None = None,
     for b in sorted(found, key=lambda b: (b.task, b.block)):
         items.setdefault(("group", b.bundle) if b.bundle is not None else (b.task, b.block), []).append(b)
     sizes = [sum(b["size"] for b in own) for own in items.values()]
-    shard = best_fit_decreasing(sizes, capacity) if capacity else pack_into(sizes, shards)
+    shard = pack_into(sizes, shards)
     base: dict[int, int] = {}
     places = []
     for own, k in zip(items.values(), shard, strict=True):
@@ -212,6 +219,48 @@ def pack(rows: DataFrame, shards: int | None = 24, capacity: int | None = None,
     return rows.join(slots, "row")
 
 
+def _pack_fixed(rows: DataFrame, capacity: int, parts: int) -> DataFrame:
+    """Rows with ``shard`` and ``slot``, in shards of no more than the capacity (or of one row beyond it)."""
+    sums = rows.groupBy("group").agg(F.sum("size").alias("group_size")).where(F.col("group_size") > capacity)
+    large = F.col("group_size").isNotNull()
+    # two pieces a shard that the group fills, so that a piece goes to one task and is packed there by its rows
+    piece = F.when(large, F.pmod(F.xxhash64("row"), F.ceil(2 * F.col("group_size") / capacity))).otherwise(0)
+    dealt = rows.join(sums, "group", "left").select("row", F.when(large, F.col("row")).otherwise(F.col("group")).alias("item"), "size", large.cast("long").alias("large"), "group", piece.cast("long").alias("piece"))
+    names = ["row", "item", "size", "large"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))]) for b in batches if b.num_rows]
+        if not own:
+            return
+        row, item, size, large = np.concatenate(own, axis=1)
+        order = np.lexsort((row, item, large))
+        row, item, size, large = row[order], item[order], size[order], large[order]
+        first = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (large[1:] != large[:-1])))
+        own = np.repeat(np.array(best_fit_decreasing(np.add.reduceat(size, first).tolist(), capacity)), np.diff(np.append(first, len(row))))
+        by_bin = np.argsort(own, kind="stable")
+        own = own[by_bin]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        at = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+        task = np.full(len(own), TaskContext.get().partitionId(), np.int32)
+        yield from pa.table([pa.array(row[by_bin]), pa.array(size[by_bin]), pa.array(task), pa.array(own), pa.array(at)], names=["row", "size", "task", "bin", "at"]).to_batches(max_chunksize=50_000)
+
+    packed = written(dealt.repartition(parts, "group", "piece").mapInArrow(run, "row long, size long, task int, bin long, at long"), "packed")
+    bins = packed.groupBy("task", "bin").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    tasks = sorted(bins.groupBy("task").agg(F.count(F.lit(1)).alias("bins"), F.min(F.struct("size", "bin", "n")).alias("last")).collect(), key=lambda r: r.task)
+    shard, base, places, taken = best_fit_decreasing([r.last["size"] for r in tasks], capacity), 0, [], {}
+    whole = sum(r.bins - 1 for r in tasks)
+    for r, k in zip(tasks, shard, strict=True):
+        places.append((r.task, base, r.last["bin"], whole + k, taken.get(k, 0)))
+        base += r.bins - 1
+        taken[k] = taken.get(k, 0) + r.last["n"]
+    # one row a task
+    placed = F.broadcast(rows.sparkSession.createDataFrame(places, "task int, base long, last long, last_shard long, last_base long"))
+    is_last = F.col("bin") == F.col("last")
+    number = F.when(is_last, F.col("last_shard")).otherwise(F.col("base") + F.col("bin") - (F.col("bin") > F.col("last")).cast("long"))
+    slots = packed.join(placed, "task").select("row", number.cast("int").alias("shard"), (F.col("at") + F.when(is_last, F.col("last_base")).otherwise(0)).alias("slot"))
+    return rows.join(slots, "row")
+
+
 SCHEMA = pa.schema([("row", pa.int64()), ("group", pa.int64()), ("size", pa.int64()), ("piece", pa.int64()), ("group_size", pa.int64())])
 
 
