@@ -5,12 +5,13 @@ with one between, hashed to 2**HASH_BITS places; a text has each of its features
 sees at most ``max_rows`` labelled rows (those of least hash of doc_id), featurised by tasks; each coordinate has a rate of
 its own, and L1 leaves few weights, which go to every task as two short arrays (never more than 2**HASH_BITS).
 
-Null and empty texts score by the bias alone. Rows whose label is null, or whose doc_id is null, are not learnt from. With
+A table without rows to score gives none. Null and empty texts score by the bias alone. Rows whose label is null, or whose doc_id is null, are not learnt from. With
 no rows to learn from, all score 0.5. Labels repeated for a doc_id count as often as they are there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Words, id_text, mix, small_batches, table, word_chunks
+from .common import ALNUM, U64, Words, id_text, kept, mix, small_batches, table, word_chunks
 
 HASH_BITS = 20
-MAX_ROWS = 8000
+#: Labelled rows that are learnt from at most, and bytes of their texts: the driver holds no more than some 16 bytes a byte.
+MAX_ROWS, MAX_BYTES = 8000, 200_000
 THRESHOLD = 0.7
 
 
@@ -93,12 +95,16 @@ class Ftrl:
         return Model(places, w[places], float(self.bias), self.bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, max_rows: int = MAX_ROWS, epochs: int = 8) -> Model:
-    """docs: id_col, text_col; labels: id_col, label_col. learn_from: a condition on the labels' id, as ``doc_id``."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn_from: Column | None = None, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, epochs: int = 8) -> Model:
+    """docs: id_col, text_col; labels: id_col, label_col. learn_from: a condition on the labels' id, as ``doc_id``.
+
+    Of the rows chosen, those with texts of more than ``max_bytes`` are left out: they aren't learnt from, but scored whole.
+    """
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna()
     chosen = (own.where(learn_from) if learn_from is not None else own).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     # max_rows rows of two integers
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = id_text(docs, id_col, text_col).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -128,11 +134,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """
     if below is None and score_col in docs.columns:
         raise ValueError(f"{score_col} clashes with a column of the documents")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        dense = m.dense()
+        m, dense = kept("weights", key, lambda: (shared.value, shared.value.dense()))
         for batch in small_batches(batches, text_col):
             own = [m.scores(c, dense) for c in word_chunks(batch.column(batch.schema.get_field_index(text_col)), ALNUM)]
             score = np.concatenate(own) if own else np.zeros(0)
