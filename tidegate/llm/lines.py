@@ -10,6 +10,7 @@ others; if only rows of null id hold a key, all of them keep it. All other colum
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mph
-from .common import small_batches, table, written
+from .common import kept, small_batches, table, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 LEAST = -(1 << 63)
@@ -134,15 +135,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for row in build_index(common, n_keys).toLocalIterator():
                 blobs[row.shard] = bytes(row.blob)
         index = spark.sparkContext.broadcast(blobs)
-        out, probe, lists = docs, True, None
+        out, probe, lists, key = docs, True, None, uuid.uuid4().hex
     else:
-        index, probe, lists = None, False, "__dropped_keys"
+        index, probe, lists, key = None, False, "__dropped_keys", ""
         out = _joined(docs, common, id_col, text_col, min_chars, lists)
     fields = {f.name: f for f in docs.schema.fields}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.values()) + (f", `{counts_to[0]}` long, `{counts_to[1]}` long" if counts_to else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = LineIndex(index.value) if probe else None
+        arrays = kept("lines", key, lambda: LineIndex(index.value)) if probe else None
         for batch in small_batches(batches, text_col):
             names = batch.schema.names
             parts = [x.split(b"\n") for x in _texts(batch.column(names.index(text_col)))]
