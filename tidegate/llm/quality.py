@@ -27,10 +27,12 @@ from .common import discard, table, written
 SPACE = r"[\\x20\\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Rows of the sample, and bytes of each at most: what rules cost and reject is read from no more than 64 MB.
-SAMPLE_ROWS, SAMPLE_BYTES = 2000, 32_000
-#: Rules that need no more than this on the sample cost the same; dearer ones are told apart by factors of two.
-LEAST_SECONDS = 0.01
+#: Rows of the sample, and bytes of each at most: what rules cost and reject is read from no more than 32 MB.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 32_000
+#: How often a rule is asked of each row of the sample while it is timed, so that it takes longer than a job's own time varies.
+TIMES = 4
+#: Rules that need no more than this on the sample cost the same; dearer ones are told apart by factors of four.
+LEAST_SECONDS = 0.03
 
 
 @dataclass(frozen=True)
@@ -118,8 +120,8 @@ class Estimate:
 
     @property
     def cost(self) -> float:
-        """Seconds in steps of a factor of two, so that the same sample gives the same order on a busy machine."""
-        return LEAST_SECONDS * 2 ** round(log2(max(self.seconds, LEAST_SECONDS) / LEAST_SECONDS))
+        """Seconds in steps of a factor of four, so that only rules near a step can change places on a busy machine."""
+        return LEAST_SECONDS * 4 ** round(log2(max(self.seconds, LEAST_SECONDS) / LEAST_SECONDS) / 2)
 
     @property
     def worth(self) -> float:
@@ -132,20 +134,21 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", col
     columns: metrics that are computed in any case, and cost a rule nothing. The sample is taken from the first partitions
     until there are enough rows, which a limit within a plan would take from all of them; rows and bytes of what comes to
     the driver are bounded. It is written once with its parts. A rule is timed twice, less what a job needs that only reads
-    the sample, and the quicker run counts: the first also compiles.
+    the sample, and the quicker run counts: the first also compiles. It is asked TIMES times of each row.
     """
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(text.alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).limit(sample_rows).collect()
-    own = written(_measured(_parts(spark.createDataFrame(rows, "text string").coalesce(2), "text"), columns), "quality-sample")
+    own = written(_measured(_parts(spark.createDataFrame(rows, "text string").coalesce(4), "text"), columns), "quality-sample")
+    often = own.withColumn("_q_time", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
 
     def seconds(condition: str) -> tuple[float, int]:
         runs, n = [], 0
         for _ in range(2):
             began = time.perf_counter()
-            n = own.agg(F.count_if(F.expr(condition))).first()[0]
+            n = often.agg(F.count_if(F.expr(condition))).first()[0]
             runs.append(time.perf_counter() - began)
-        return min(runs), n
+        return min(runs), n // TIMES
 
     least = seconds("size(_q_words) + size(_q_lines) + length(_q_text) < 0")[0]
     out = []
