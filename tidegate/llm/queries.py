@@ -28,6 +28,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": sql.CONTAMINATION,
+    "op2_near_duplicates": sql.NEAR_DUPLICATES,
+    "op4_warc": sql.ARCHIVES,
     "op5_url_filter": sql.URL_FILTER,
     "op7_quality_rules": sql.QUALITY_RULES,
     "op10_line_dedup": sql.LINE_DEDUP,
