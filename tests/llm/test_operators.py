@@ -526,6 +526,7 @@ def test_op8_token_ids(spark, docs):
 def test_op8_words_as_the_library_has_them(monkeypatch):
     own = tokens.WordEncoder(public_tokenizers.path(tokens.TOKENIZER))
     monkeypatch.setattr(tokens, "CACHED", 50)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 20)
     texts = [t for _, t in DOCS if t] + ["<|endoftext|> a<|startoftext|>", "~ a~ ~.", "é ́a ṩ ΣΑΣ. ŉ ǅ", "...,, a.. 1. 1,2.", "ẞ. ẞ, A.B. A., .", " a b   c"]
     got = own.encode([t.encode() for t in texts])
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]

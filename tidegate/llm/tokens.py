@@ -27,9 +27,10 @@ from .common import U64, id_text, mix, shared_dir, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-MARK = "~"
-#: Stems kept with their ids in each Python worker, of at most so many bytes; as many older ones are kept besides.
-CACHED, CACHED_BYTES = 400_000, 64
+MARK = b"~"
+#: Stems, and words as they are written, kept with their ids in each Python worker, of at most so many bytes; as many older
+#: ones are kept besides.
+CACHED, CACHED_WORDS, CACHED_BYTES = 400_000, 200_000, 64
 JOINED = 512
 #: After these, a full stop or comma is a token of its own.
 STEM_ENDS = b"abcdefghijklmnopqrstuvwxyz0123456789"
@@ -39,11 +40,12 @@ NULL_ID = -(1 << 63)
 class WordEncoder:
     """Encodes texts by their words, for tokenizers that drop white space, lower-case, and merge within words alone.
 
-    ASCII white space never joins a token there, so a text's ids are its words' ids. A word's stem (lower-cased, without one
-    full stop or comma at its end) goes through the library once while it is cached; the library keeps such marks apart
-    from letters and digits. What may hold a special token keeps its case, since the library looks for those before it
-    lower-cases. New stems go together, set apart by a mark of one id, which is checked at the start. Stems of
-    lower-case letters in composed form need neither normalising nor splitting, so these two steps are left out for them.
+    ASCII white space never joins a token there, so a text's ids are its words' ids. Words are cached as they are written. A
+    new word's stem (lower-cased, without one full stop or comma at its end) goes through the library once while it is
+    cached too; the library keeps such marks apart from letters and digits. What may hold a special token keeps its case,
+    since the library looks for those before it lower-cases. New stems go together, set apart by a mark of one id, which is
+    checked at the start. Stems of lower-case letters in composed form need neither normalising nor splitting, so these two
+    steps are left out for them.
     """
 
     def __init__(self, path: str):
@@ -55,57 +57,83 @@ class WordEncoder:
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        mark = self._ids(self.tokenizer, MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 and self._ids(self.letters, MARK).tolist() == mark.tolist() else None
+        mark = self._ids(self.tokenizer, MARK.decode())
+        self.mark = int(mark[0]) if len(mark) == 1 and self._ids(self.letters, MARK.decode()).tolist() == mark.tolist() else None
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _ids(self, tokenizer, text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
+    def _alone(self, stem: bytes) -> bytes:
+        return self._ids(self.tokenizer, stem.decode("utf-8")).tobytes()
+
     def _ask(self, stems: list[bytes]) -> dict[bytes, bytes]:
-        out, plain = {}, {self.tokenizer: [], self.letters: []}
+        out, letters, others = {}, [], []
         for w in stems:
-            s = w.decode("utf-8")
-            if self.mark is None or MARK in s or len(w) > CACHED_BYTES or "<|" in s:
-                out[w] = self._ids(self.tokenizer, s).tobytes()
+            if self.mark is None or len(w) > CACHED_BYTES:
+                out[w] = self._alone(w)
+            elif w.isalpha():  # ASCII letters
+                letters.append(w)
+            elif MARK in w or b"<|" in w:
+                out[w] = self._alone(w)
             else:
-                easy = s.isalpha() and (s.isascii() or (s == s.lower() and unicodedata.is_normalized("NFC", s)))
-                plain[self.letters if easy else self.tokenizer].append((w, s))
-        size = self.dtype.itemsize
-        for tokenizer, words in plain.items():
+                s = w.decode("utf-8")
+                (letters if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else others).append(w)
+        size, between = self.dtype.itemsize, b" " + MARK + b" "
+        for tokenizer, words in ((self.letters, letters), (self.tokenizer, others)):
             for a in range(0, len(words), JOINED):
                 part = words[a : a + JOINED]
-                ids = self._ids(tokenizer, f" {MARK} ".join([s for _, s in part]))
-                ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+                ids = self._ids(tokenizer, between.join(part).decode("utf-8"))
+                ends = (np.append(np.flatnonzero(ids == self.mark), len(ids)) * size).tolist()
                 if len(ends) != len(part):
-                    out.update((w, self._ids(self.tokenizer, s).tobytes()) for w, s in part)
+                    out.update((w, self._alone(w)) for w in part)
                     continue
                 raw, at = ids.tobytes(), 0
-                for (w, _), end in zip(part, ends, strict=True):
-                    out[w] = raw[at * size : end * size]
-                    at = end + 1
+                for w, end in zip(part, ends, strict=True):
+                    out[w] = raw[at:end]
+                    at = end + size
         return out
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        stems: dict[bytes, tuple[bytes, bytes] | bytes] = {}
-        for w in set().union(*split):
+    def _of_stems(self, words: set[bytes]) -> dict[bytes, bytes]:
+        known, old, stems, asked = self.cache, self.old, {}, set()
+        for w in words:
             s = w if b"<|" in w else w.lower()
-            stems[w] = (s[:-1], s[-1:]) if s[-1] in b".," and len(s) > 1 and s[-2] in STEM_ENDS else s
-        asked = {x for v in stems.values() for x in (v if type(v) is tuple else (v,))} - self.cache.keys()
-        kept = {x: self.old[x] for x in asked if x in self.old}
-        fresh = self._ask([x for x in asked if x not in kept])
-        known = self.cache
-        known.update(kept)
+            if s[-1] in b".," and len(s) > 1 and s[-2] in STEM_ENDS:
+                s = s[:-1]
+                asked.add(w[-1:])
+            asked.add(s)
+            stems[w] = s
+        asked -= known.keys()
+        known.update({s: old[s] for s in asked if s in old})
+        fresh = self._ask([s for s in asked if s not in old])
         known.update(fresh)
-        ids = {w: known[v[0]] + known[v[1]] if type(v) is tuple else known[v] for w, v in stems.items()}
-        for x in fresh:
-            if len(x) > CACHED_BYTES:
-                del known[x]
+        ids = {w: known[s] if len(s) == len(w) else known[s] + known[w[-1:]] for w, s in stems.items()}
+        for s in fresh:
+            if len(s) > CACHED_BYTES:
+                del known[s]
         if len(known) > CACHED:
             self.old, self.cache = known, {}
-        return [b"".join([ids[w] for w in words]) for words in split]
+        return ids
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        known, old = self.words, self.old_words
+        new = set().union(*split)
+        new -= known.keys()
+        kept = {w: old[w] for w in new if w in old}
+        known.update(kept)
+        fresh = self._of_stems(new - kept.keys())
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > CACHED_BYTES:
+                del known[w]
+        if len(known) > CACHED_WORDS:
+            self.old_words, self.words = known, {}
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
