@@ -539,6 +539,24 @@ def test_op8_special_tokens_in_another_case():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_op8_words_with_marks_share_a_stem(monkeypatch):
+    own, asked = tokens.WordEncoder(public_tokenizers.path(tokens.TOKENIZER)), []
+    ask = own._ask
+    monkeypatch.setattr(own, "_ask", lambda stems: asked.extend(stems) or ask(stems))
+    texts = ["Anateou anateou,%%% ANATEOU!!", "anateou... anateou,%%%", "x1) anateou", "", "  anateou\t"]
+    got = own.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(asked) == sorted([b"", b"anateou", b",%%%", b"!!", b"...", b"x1", b")"])
+
+
+def test_op8_odd_words_as_the_library_has_them():
+    own, r = tokens.WordEncoder(public_tokenizers.path(tokens.TOKENIZER)), random.Random(3)
+    parts = [*"aBzéÉñΣςßİK19٣Ⅷ'.,~<>=%$#-_ \t\x00\x1c\x85\xa0日ŉǅﬁ", "'s", "'ll", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0338", "\u0301", "한", "\u1112", "\u1161"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(4000)]
+    got = own.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [x.ids for x in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op8_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "b"), (None, "a a"), (4, "x y z"), (4, "x y z"), (4, "a")], "doc_id long, text string")
     got = tokens.read_ids(tokens.write_ids(rows, shards=2)).collect()

@@ -18,34 +18,45 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files, mph
-from .common import U64, id_text, mix, shared_dir, small_batches, table, written
+from .common import LOWER, U64, id_text, mix, ranges, shared_dir, small_batches, table, text_buffers, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 MARK = b"~"
-#: Stems, and words as they are written, kept with their ids in each Python worker, of at most so many bytes; as many older
-#: ones are kept besides.
-CACHED, CACHED_WORDS, CACHED_BYTES = 400_000, 200_000, 64
+#: Stems kept with their ids in each Python worker, of at most so many bytes; as many older ones are kept besides. So many
+#: words of a batch are put together from them at once.
+CACHED, CACHED_WORDS, CACHED_BYTES = 400_000, 1 << 18, 64
 JOINED = 512
-#: After these, a full stop or comma is a token of its own.
-STEM_ENDS = b"abcdefghijklmnopqrstuvwxyz0123456789"
+#: Text taken at once: the more, the fewer words are met again.
+TAKEN = 8 << 20
+#: After these, ASCII marks other than an apostrophe are tokens of their own.
+STEM_ENDS = np.zeros(256, bool)
+STEM_ENDS[48:58] = STEM_ENDS[97:123] = True
+ENDINGS = np.zeros(256, bool)
+ENDINGS[33:127] = ~(STEM_ENDS | np.roll(STEM_ENDS, -32))[33:127]
+ENDINGS[ord("'")] = False
 NULL_ID = -(1 << 63)
 
 
+def _binary(data: np.ndarray, offs: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(data)])
+
+
 class WordEncoder:
     """Encodes texts by their words, for tokenizers that drop white space, lower-case, and merge within words alone.
 
-    ASCII white space never joins a token there, so a text's ids are its words' ids. Words are cached as they are written. A
-    new word's stem (lower-cased, without one full stop or comma at its end) goes through the library once while it is
-    cached too; the library keeps such marks apart from letters and digits. What may hold a special token keeps its case,
-    since the library looks for those before it lower-cases. New stems go together, set apart by a mark of one id, which is
-    checked at the start. Stems of lower-case letters in composed form need neither normalising nor splitting, so these two
-    steps are left out for them.
+    ASCII white space never joins a token there, so a text's ids are its words' ids. Each word of a batch is looked up once:
+    as its stem (lower-cased, without the ASCII marks at its end) and those marks, which the library keeps apart from
+    letters and digits. A stem goes through the library once while it is cached. What may hold a special token stays whole
+    and keeps its case, since the library looks for those before it lower-cases. New stems go together, set apart by a mark
+    of one id, which is checked at the start. Stems of letters in composed form are lower-cased here and need no splitting,
+    so these steps are left out for them, and for ASCII letters the mapping of bytes too.
     """
 
     def __init__(self, path: str):
@@ -56,11 +67,11 @@ class WordEncoder:
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.letters.model)
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        mark = self._ids(self.tokenizer, MARK.decode())
-        self.mark = int(mark[0]) if len(mark) == 1 and self._ids(self.letters, MARK.decode()).tolist() == mark.tolist() else None
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
+        marks = [self._ids(t, MARK.decode()).tolist() for t in (self.tokenizer, self.letters, self.ascii)]
+        self.mark = marks[0][0] if len(marks[0]) == 1 and marks[0] == marks[1] == marks[2] else None
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -71,22 +82,28 @@ class WordEncoder:
         return self._ids(self.tokenizer, stem.decode("utf-8")).tobytes()
 
     def _ask(self, stems: list[bytes]) -> dict[bytes, bytes]:
-        out, letters, others = {}, [], []
+        out, asked = {}, {self.ascii: ([], []), self.letters: ([], []), self.tokenizer: ([], [])}
         for w in stems:
             if self.mark is None or len(w) > CACHED_BYTES:
                 out[w] = self._alone(w)
-            elif w.isalpha():  # ASCII letters
-                letters.append(w)
+                continue
+            if w.isalpha():  # ASCII letters
+                tokenizer, text = self.ascii, w.decode("ascii")
             elif MARK in w or b"<|" in w:
                 out[w] = self._alone(w)
+                continue
             else:
-                s = w.decode("utf-8")
-                (letters if s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s) else others).append(w)
-        size, between = self.dtype.itemsize, b" " + MARK + b" "
-        for tokenizer, words in ((self.letters, letters), (self.tokenizer, others)):
+                tokenizer, text = self.tokenizer, w.decode("utf-8")
+                # the library lower-cases a character at a time, so a sigma at the end as any other
+                if not w.isascii() and (small := text.lower()).isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+                    tokenizer, text = self.letters, small
+            asked[tokenizer][0].append(w)
+            asked[tokenizer][1].append(text)
+        size, between = self.dtype.itemsize, f" {MARK.decode()} "
+        for tokenizer, (words, texts) in asked.items():
             for a in range(0, len(words), JOINED):
                 part = words[a : a + JOINED]
-                ids = self._ids(tokenizer, between.join(part).decode("utf-8"))
+                ids = self._ids(tokenizer, between.join(texts[a : a + JOINED]))
                 ends = (np.append(np.flatnonzero(ids == self.mark), len(ids)) * size).tolist()
                 if len(ends) != len(part):
                     out.update((w, self._alone(w)) for w in part)
@@ -97,20 +114,13 @@ class WordEncoder:
                     at = end + size
         return out
 
-    def _of_stems(self, words: set[bytes]) -> dict[bytes, bytes]:
-        known, old, stems, asked = self.cache, self.old, {}, set()
-        for w in words:
-            s = w if b"<|" in w else w.lower()
-            if s[-1] in b".," and len(s) > 1 and s[-2] in STEM_ENDS:
-                s = s[:-1]
-                asked.add(w[-1:])
-            asked.add(s)
-            stems[w] = s
-        asked -= known.keys()
-        known.update({s: old[s] for s in asked if s in old})
-        fresh = self._ask([s for s in asked if s not in old])
+    def _of_stems(self, stems: list[bytes]) -> list[bytes]:
+        known, old = self.cache, self.old
+        new = [s for s in stems if s not in known]
+        known.update({s: old[s] for s in new if s in old})
+        fresh = self._ask([s for s in new if s not in old])
         known.update(fresh)
-        ids = {w: known[s] if len(s) == len(w) else known[s] + known[w[-1:]] for w, s in stems.items()}
+        ids = [known[s] for s in stems]
         for s in fresh:
             if len(s) > CACHED_BYTES:
                 del known[s]
@@ -118,22 +128,41 @@ class WordEncoder:
             self.old, self.cache = known, {}
         return ids
 
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and how many each has."""
+        data, offs = text_buffers(words)
+        starts, ends, at = offs[:-1], offs[1:], np.arange(len(data))
+        special = np.zeros(len(starts), bool)
+        special[np.searchsorted(ends, np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))), "right")] = True
+        small = np.where(np.repeat(special, ends - starts), data, LOWER[data])
+        last = np.append(-1, np.maximum.accumulate(np.where(ENDINGS[small], -1, at)))[ends]  # the last byte that is no ending
+        cut = np.where((last >= starts) & STEM_ENDS[np.append(small, 0)[last]] & ~special, last + 1, ends)
+        both = np.append(np.stack([starts, cut], 1).ravel(), len(data))
+        pieces = _binary(small, both).dictionary_encode()
+        own = self._of_stems(pieces.dictionary.to_pylist())
+        n = np.fromiter(map(len, own), np.int64, len(own)) // self.dtype.itemsize
+        ids, k = np.frombuffer(b"".join(own), self.dtype), pieces.indices.to_numpy()
+        return ids[ranges((np.cumsum(n) - n)[k], n[k])], n[k].reshape(-1, 2).sum(1)
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[Iterator[np.ndarray], np.ndarray]:
+        """The ids of a string column's texts, each with the end id, in runs one after another; and how many each has."""
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        words, offs = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+        offs -= offs[0]
+        ids, n = self._of_words(words.dictionary)
+        k = words.indices.to_numpy()
+        if end_id is not None:
+            k = np.insert(k, offs[1:], len(n))
+            ids, n, offs = np.append(ids, self.dtype.type(end_id)), np.append(n, 1), offs + np.arange(len(offs))
+        starts = np.cumsum(n) - n
+        parts = [k[a : a + CACHED_WORDS] for a in range(0, len(k), CACHED_WORDS)]
+        total = np.append(0, np.cumsum(n[k]))
+        return (ids[ranges(starts[x], n[x])] for x in parts), np.diff(total[offs])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known, old = self.words, self.old_words
-        new = set().union(*split)
-        new -= known.keys()
-        kept = {w: old[w] for w in new if w in old}
-        known.update(kept)
-        fresh = self._of_stems(new - kept.keys())
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in fresh:
-            if len(w) > CACHED_BYTES:
-                del known[w]
-        if len(known) > CACHED_WORDS:
-            self.old_words, self.words = known, {}
-        return out
+        runs, n = self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        raw, ends = b"".join(x.tobytes() for x in runs), (np.cumsum(n) * self.dtype.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -176,20 +205,20 @@ def write_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, name = encoder(tokenizer), uuid.uuid4().hex
-        end = b"" if end_id is None else np.array([end_id], words.dtype).tobytes()
         keys, sizes, out = [], [], None
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TAKEN):
             if out is None:
                 fs, path = files.opened(f"{to}/{name}.ids")
                 out = fs.open_output_stream(path, compression=None)
-            for x in words.encode([t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]):
-                out.write(x + end)
-                sizes.append((len(x) + len(end)) // words.dtype.itemsize)
+            runs, n = words.encode_column(batch.column(1), end_id)
+            for x in runs:
+                out.write(x.tobytes())
+            sizes.append(n)
             keys.append(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
         if out is None:
             return
         out.close()
-        ids, n = np.concatenate(keys), np.array(sizes, np.int64)
+        ids, n = np.concatenate(keys), np.concatenate(sizes)
         occurrence, start = occurrences(ids), np.cumsum(n) - n
         h = key_hash(ids, occurrence)
         f = mph.MinimalPerfectHash.build(h)
