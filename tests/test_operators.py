@@ -4,11 +4,13 @@ import math
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidegate.functions import scalars as fn
 from tidegate.operators import buffers, commits, keyed, observed, placement, replicas, statelog
+from tidegate.plans import catalog
 from tidegate.sources import blockfiles, generated, statefiles, tables
 from tidegate.streaming import streams
 
@@ -302,6 +304,35 @@ def test_custom_aggregate_of_a_hot_key(spark):
     assert {r.k: r.s for r in total.collect()} == {r.k: r.s for r in rows.groupBy("k").agg(F.sum("v").alias("s")).collect()}
 
 
+def test_aggregate_groups(spark):
+    big = (1 << 60) + 1
+    data = [(k % 7 if k % 5 else None, ("a", "b", None)[k % 3], None if k % 7 == 3 or k % 11 == 0 else k) for k in range(1500)] + [(big, "a", big), (big + 1, "a", 1)]
+    rows = spark.createDataFrame(data, "k long, t string, v long").repartition(6)
+
+    def create(g):
+        return pd.DataFrame({"s": g.v.sum(min_count=1), "n": g.v.size()})
+
+    def merge(g):
+        return pd.DataFrame({"s": g.s.sum(min_count=1), "n": g.n.sum()})
+
+    for keys in (["k"], ["t", "k"]):
+        want = sorted(map(str, rows.groupBy(*keys).agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()))
+        for size in ({}, {"table_size": 3, "rows_at_once": 4}):
+            got = keyed.aggregate_groups(rows, keys, create, merge, "s long, n long", **size)
+            assert sorted(map(str, got.collect())) == want
+    assert not keyed.aggregate_groups(rows.where("false"), ["k"], create, merge, "s long, n long").collect()
+
+
+def test_d6_calls_follow_the_rows_not_the_keys(spark, tmp_path):
+    lines = spark.range(0, 40_000, 1, 2).selectExpr("id % 20000 AS l_suppkey", "IF(id % 20000 = 5, NULL, CAST(id % 7 AS INT)) AS l_linenumber")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = catalog.QUERIES["d6_custom_aggregate"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    want = spark.read.parquet(str(tmp_path / "lineitem.parquet")).groupBy("l_suppkey").agg(F.sum("l_linenumber"), F.max("l_linenumber").cast("long"), F.count(F.lit(1)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_scalars(spark):
     assert fn.backoff(100, 400, 1200) == [100, 200, 400, 400]
     fn.guard_no_speculation(spark)

@@ -6,9 +6,11 @@ first, and adaptive execution sizes and splits what arrives.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +85,8 @@ def aggregate_by_key(df: DataFrame, keys: Sequence[str], create: Callable, merge
     create(frame) -> state (a dict), merge_value(state, frame) -> state, merge(state, state) -> state; states have the
     columns of ``schema`` besides the keys. Each map task keeps a table of states and writes it out whole when it has
     ``table_size`` keys, so only states are shuffled, a few for each key and task however hot the key is. Rows are grouped
-    ``rows_at_once`` at a time, so that the functions are called for a key's rows together.
+    ``rows_at_once`` at a time, so that the functions are called for a key's rows together. That is a call a key and so many
+    rows: with many keys, nearly one a row, so prefer ``aggregate_groups`` for these.
     """
     keys = list(keys)
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -124,6 +127,64 @@ def _joined(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
         yield pd.concat(held)
 
 
+#: Pandas types that keep integers beside nulls; other columns stay Arrow's.
+NULLABLE = {getattr(pa, t.lower())(): getattr(pd, f"{t}Dtype")() for t in ("Int8", "Int16", "Int32", "Int64", "Float32", "Float64")} | {pa.bool_(): pd.BooleanDtype()}
+
+
+def aggregate_groups(df: DataFrame, keys: Sequence[str], create: Callable, merge: Callable, schema: str, table_size: int = 1_000_000, rows_at_once: int = 200_000) -> DataFrame:
+    """An aggregate of two functions of grouped pandas frames, each called for many keys at once.
+
+    create(groups of rows) and merge(groups of states) return a frame of one state a group, in columns of ``schema``, with
+    the groups' keys as its index, as pandas' own aggregates do; a state and more rows are merged once the rows have become
+    states. Map tasks hold up to ``table_size`` states, merge them then, and write them out if half are left, so only states
+    are shuffled, few a key and task however hot the key is. The states then come sorted and are merged as they come, about
+    ``rows_at_once`` at a time. The number of calls follows the rows, not the keys.
+    """
+    keys = list(keys)
+    out = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), schema])
+    arrow = df.sparkSession.createDataFrame([], out).toArrow().schema
+
+    def states(f: Callable, frame: pd.DataFrame) -> pd.DataFrame:
+        return f(frame.groupby(keys, dropna=False, sort=False)).reset_index()[arrow.names]
+
+    def batch(frame: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pandas(frame, arrow, preserve_index=False)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        for frame in _frames(batches, rows_at_once):
+            held.append(states(create, frame))
+            if sum(map(len, held)) >= table_size:
+                held = [states(merge, pd.concat(held))]
+                if len(held[0]) >= table_size / 2:
+                    yield batch(held.pop())
+        if held:
+            yield batch(states(merge, pd.concat(held)))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for frame in _frames(batches, rows_at_once):
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            group = frame.groupby(keys, dropna=False, sort=False).ngroup()
+            open_ = group == group.iloc[-1]  # the key that may go on in the next frame
+            if not open_.all():
+                yield batch(states(merge, frame[~open_]))
+            held = states(merge, frame[open_])
+        if held is not None:
+            yield batch(held)
+
+    return df.mapInArrow(first, out).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(last, out)
+
+
+def _frames(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pd.DataFrame]:
+    held: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        held += [b] if b is not None and b.num_rows else []
+        if held and (b is None or sum(x.num_rows for x in held) >= size):
+            yield pa.Table.from_batches(held).to_pandas(types_mapper=lambda t: NULLABLE.get(t) or pd.ArrowDtype(t))
+            held = []
+
+
 def two_level(df: DataFrame, keys: Sequence[str], part: str, value: str) -> DataFrame:
     """Combined within each ``part`` (a map task, or a salt for a hot key), then over all: s and n."""
     inner = df.groupBy(*keys, part).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,14 +267,14 @@ def _(spark, d):
 
 @query("d6_custom_aggregate", "SELECT l_suppkey AS k, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(max(l_linenumber) AS BIGINT) AS most, count(*) AS n FROM lineitem GROUP BY 1")
 def _(spark, d):
-    def create(f):
-        return {"s": int(f.v.sum()), "most": int(f.v.max()), "n": len(f)}
+    def create(g):
+        return pd.DataFrame({"s": g.v.sum(min_count=1), "most": g.v.max(), "n": g.v.size()})
 
-    def merge(a, b):
-        return {"s": a["s"] + b["s"], "most": max(a["most"], b["most"]), "n": a["n"] + b["n"]}
+    def merge(g):
+        return pd.DataFrame({"s": g.s.sum(min_count=1), "most": g.most.max(), "n": g.n.sum()})
 
     rows = lines(spark, d).select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("v"))
-    return keyed.aggregate_by_key(rows, ["k"], create, lambda s, f: merge(s, create(f)), merge, "s long, most long, n long")
+    return keyed.aggregate_groups(rows, ["k"], create, merge, "s long, most long, n long")
 
 
 @query("d7_two_level_combine", "SELECT l_partkey AS k, CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS n FROM lineitem GROUP BY 1")
